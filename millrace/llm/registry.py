@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from .huffman import op3_token_files
+from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_packing
+from .partenum import OP6_SQL, op6_ngram_jaccard
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_token_files": op3_token_files,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_packing": op7_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_mixing": OP1_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
+}
