@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .huffman import op3_token_files
+from .licenses import op5_licenses
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_packing
 from .partenum import OP6_SQL, op6_ngram_jaccard
+from .toxicity import op4_toxicity
+from .urls import op10_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_files": op3_token_files,
+    "op4_toxicity": op4_toxicity,
+    "op5_licenses": op5_licenses,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_packing": op7_packing,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL = {
     "op1_mixing": OP1_SQL,
