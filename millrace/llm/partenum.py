@@ -268,11 +268,14 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id; rows that repeat it are one document too.
 
-    Texts without words stay, each once per doc_id.
+    Texts without words stay, each once per doc_id. What is dropped is the smaller side of the join, and only rows of
+    repeated doc_ids are grouped, so that texts needn't move where few documents go.
     """
-    kept = near_duplicates(documents).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    near = stash(near_duplicates(documents).select(F.col("doc_id").alias("__id"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__out")), "kept")
+    by_id = stash(near.groupBy("__id").agg(F.min("__out").alias("__out"), F.count("*").alias("__n")).where("__out or __n > 1"), "decided")
+    gone, again = by_id.select("__id"), by_id.where("not __out").select("__id")
+    once = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    return once.unionByName(documents.join(again, documents["doc_id"].eqNullSafe(again["__id"]), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
