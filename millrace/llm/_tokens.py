@@ -93,9 +93,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a vocabulary file."""
+def encoder(path: str, limit: int = 800_000) -> Encoder:
+    """The worker's own encoder for a vocabulary file; its memory of parts is kept from task to task."""
     got = _encoders.get(path)
     if got is None:
         got = _encoders[path] = Encoder(path)
+    got.limit = limit
     return got

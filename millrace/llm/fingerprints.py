@@ -93,7 +93,7 @@ def with_next(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges or 2 * parts
+    ranges = ranges or 4 * parts
     docs = pick(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     cuts = sorted(int(c) for c in cuts)
@@ -116,7 +116,7 @@ def with_next(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     own = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ahead")))
     both = F.when(F.col("prior").isNull(), own).otherwise(F.concat(own, F.array(F.struct(F.col("prior").alias("b"), F.lit(1).alias("ahead")))))
     spread_rows = marked.select("doc_id", "text", "h", F.explode(both).alias("x")).select("doc_id", "text", "h", F.col("x.b").alias("bucket"), F.col("x.ahead").alias("ahead"))
-    rows = spread_rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "h")
+    rows = spread_rows.repartitionByRange(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.col("doc_id").asc_nulls_first(), "h")
     return rows.select("doc_id", "text", "bucket", "ahead")
 
 

@@ -105,7 +105,7 @@ def step_groups(totals: np.ndarray, step_tokens: int) -> np.ndarray:
     return out
 
 
-def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, sizes: tuple[int, ...] = SIZES, buffer_tokens: int = 4_000_000, step_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, sizes: tuple[int, ...] = SIZES, buffer_tokens: int = 2_000_000, step_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
     """Pieces of documents (doc_id, text) in sequences; with_ids adds each piece's token ids."""
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
     schema = pa.schema([(x.split()[0], pa.int64()) for x in fields.split(", ")] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
@@ -113,7 +113,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, sizes: tuple[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._tokens import encoder
 
-        tok, end = encoder(tokenizer), int(end_id).to_bytes(2, "little")
+        tok, end = encoder(tokenizer, limit=250_000), int(end_id).to_bytes(2, "little")
         base = TaskContext.get().partitionId() << 36
         seen = steps = 0
 
@@ -155,6 +155,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, sizes: tuple[int
                     docs, ids, tokens = [], [], 0
         if docs:
             yield flush(docs, ids)
+        tok.parts.clear()  # other stages of a pipeline share the worker
 
     return pick(documents, "doc_id", "text").mapInArrow(run, fields + ", ids array<int>" * with_ids)
 

@@ -186,8 +186,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
 def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep columns of documents with tox_score, tox_hits and tox_weight (n_words: folded words)."""
     added = "tox_score double, tox_hits int, tox_weight double, tox_words int"
-    kept = documents.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__tox_text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__tox_text")
+    own = [c for c in keep if c != "text"]
+    kept = documents.select(*[F.col(f"`{c}`") for c in own], F.col("text"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = model.matcher()
@@ -200,8 +201,8 @@ def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",))
                 weight.append(w)
                 words.append(f.count(" "))
             s = model.score(np.array(weight, dtype=float), np.array(words, dtype=float))
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array(hits, pa.int32()), pa.array(weight, pa.float64()), pa.array(words, pa.int32())], names=[*b.schema.names[:-1], "tox_score", "tox_hits", "tox_weight", "tox_words"])
+            names = [n for n in b.schema.names if n in keep]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(s), pa.array(hits, pa.int32()), pa.array(weight, pa.float64()), pa.array(words, pa.int32())], names=[*names, "tox_score", "tox_hits", "tox_weight", "tox_words"])
 
     return kept.mapInArrow(run, f"{ddl}, {added}")
 
