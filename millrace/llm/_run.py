@@ -50,8 +50,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+BATCH_ROWS = 1500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, where nobody has set another number: texts are long, and two copies of a batch are held at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def tidied(f):
+    """A mapInArrow function that gives memory back to the system when its task ends: Python workers outlive tasks and stages."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Only the needed columns, so that others with whatever names can't clash."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

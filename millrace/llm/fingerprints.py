@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._run import as_batch, pick, table
+from ._run import as_batch, pick, table, tidied
 
 WIDTH, FRACTION_BITS = 3, 3
 _U = np.uint64
@@ -157,7 +157,7 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document."""
     fields = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(documents).mapInArrow(_edit, fields)
+    return with_next(documents).mapInArrow(tidied(_edit), fields)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._run import as_batch, pick, table
+from ._run import as_batch, pick, table, tidied
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -409,7 +409,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = model.extract(part.column(2).to_pylist())
                 yield as_batch(schema, page_id=part.column(0), url=part.column(1), text=texts, n_chars=[len(t) for t in texts])
 
-    return pick(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pick(pages, "page_id", "url", "html").mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _text
-from ._run import as_batch, pick, table
+from ._run import as_batch, pick, table, tidied
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = {
@@ -154,7 +154,7 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, base: M
                     cols["spans"].append([f"{label}:{s}:{size}" for (label, s), size in sorted(found[d].items())])
             yield as_batch(schema, **cols)
 
-    return pick(documents, "doc_id", "text").mapInArrow(run, fields)
+    return pick(documents, "doc_id", "text").mapInArrow(tidied(run), fields)
 
 
 def _places(h: np.ndarray, bounds: np.ndarray, phrase: list) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._run import as_batch, pick, table
+from ._run import as_batch, pick, table, tidied
 
 SIZES = (256, 512, 1024, 2048)
 
@@ -157,7 +157,7 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, sizes: tuple[int
             yield flush(docs, ids)
         tok.parts.clear()  # other stages of a pipeline share the worker
 
-    return pick(documents, "doc_id", "text").mapInArrow(run, fields + ", ids array<int>" * with_ids)
+    return pick(documents, "doc_id", "text").mapInArrow(tidied(run), fields + ", ids array<int>" * with_ids)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._run import as_batch, pick, stash, table
+from ._run import as_batch, pick, stash, table, tidied
 
 WIDTH, PERCENT = 5, 90
 BAND_GROWTH, BLOCK, SEEN = 1.5, 256, 1 << 18
@@ -212,12 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(profile: doc_id, n, key of each row; links: a, na, b, nb between classes of equal sets), both written."""
     docs = pick(documents, "doc_id", "text")
-    profile = stash(docs.mapInArrow(_profile(width), "doc_id long, n long, key long, sigs array<long>"), "profile")
+    profile = stash(docs.mapInArrow(tidied(_profile(width)), "doc_id long, n long, key long, sigs array<long>"), "profile")
     sigs = profile.where("sigs is not null").select(F.explode("sigs").alias("sig"), "key", F.col("n").cast("int").alias("n"))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = sigs.repartition(parts, "sig").sortWithinPartitions("sig")
-    blocks = sigs.mapInArrow(_groups, "a array<long>, na array<long>, b array<long>, nb array<long>")
-    pairs = blocks.mapInArrow(_pairs, "a long, na long, b long, nb long").groupBy("a", "na", "b", "nb").count()
+    blocks = sigs.mapInArrow(tidied(_groups), "a array<long>, na array<long>, b array<long>, nb array<long>")
+    pairs = blocks.mapInArrow(tidied(_pairs), "a long, na long, b long, nb long").groupBy("a", "na", "b", "nb").count()
     pairs = stash(pairs.where(F.col("count") >= _needed("na", "nb")).drop("count"), "pairs")
 
     ends = pairs.select(F.col("a").alias("key"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
@@ -231,7 +231,7 @@ def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame
                 got = list(sets_of(b.column(1).slice(lo, 256), width))
                 yield as_batch(schema, key=[set_key(s) for s in got], n=[len(s) for s in got], set=[s.tobytes() for s in got])
 
-    sets = texts.mapInArrow(load, "key long, n long, set binary").join(ends, ["key", "n"], "left_semi").groupBy("key", "n").agg(F.first("set").alias("set"))
+    sets = texts.mapInArrow(tidied(load), "key long, n long, set binary").join(ends, ["key", "n"], "left_semi").groupBy("key", "n").agg(F.first("set").alias("set"))
     sets = stash(sets, "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame
 
     sa, sb = (sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"s{c}")) for c in "ab")
     checked = pairs.join(sa, ["a", "na"]).join(sb, ["b", "nb"]).select("a", "na", "b", "nb", "sa", "sb")
-    return profile.select("doc_id", "n", "key"), stash(checked.mapInArrow(compare, "a long, na long, b long, nb long"), "links")
+    return profile.select("doc_id", "n", "key"), stash(checked.mapInArrow(tidied(compare), "a long, na long, b long, nb long"), "links")
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:

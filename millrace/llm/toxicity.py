@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import as_batch, pick, table
+from ._run import pick, small_batches, table, tidied
 
 SAMPLE, FOLDS = 8000, 5
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser bracket")
@@ -204,7 +204,8 @@ def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",))
             names = [n for n in b.schema.names if n in keep]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(s), pa.array(hits, pa.int32()), pa.array(weight, pa.float64()), pa.array(words, pa.int32())], names=[*names, "tox_score", "tox_hits", "tox_weight", "tox_words"])
 
-    return kept.mapInArrow(run, f"{ddl}, {added}")
+    small_batches(documents.sparkSession)
+    return kept.mapInArrow(tidied(run), f"{ddl}, {added}")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
