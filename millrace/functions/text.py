@@ -69,10 +69,13 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def shingles(text: Column, n: int) -> Column:
-    """n-word shingles of a text; fewer words give none."""
+    """n-word shingles of a text; fewer words give none. The shifted word lists are zipped, so that words are split once, not once per shingle."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    k = F.size(words) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    k = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), k)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(i + 1), k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 _BOUNDARIES = [re.compile(p) for p in (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+", r"\s+")]

@@ -12,7 +12,6 @@ FUNCTIONS = {
     "array_sum(a ARRAY<DOUBLE>)": ("DOUBLE", "aggregate(a, 0D, (x, y) -> x + y)"), "array_mean(a ARRAY<DOUBLE>)": ("DOUBLE", "aggregate(a, 0D, (x, y) -> x + y) / size(a)"),
     "cosd(x DOUBLE)": ("DOUBLE", "cos(radians(x))"), "sind(x DOUBLE)": ("DOUBLE", "sin(radians(x))"), "tand(x DOUBLE)": ("DOUBLE", "tan(radians(x))"),
     "starts_with(s STRING, p STRING)": ("BOOLEAN", "startswith(s, p)"), "ends_with(s STRING, p STRING)": ("BOOLEAN", "endswith(s, p)"), "strpos(s STRING, p STRING)": ("INT", "instr(s, p)"),
-    "string_to_array(s STRING, d STRING)": ("ARRAY<STRING>", "split(s, concat('\\\\Q', d, '\\\\E'))"),
 }
 _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%j": "DDD", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss"}
 _installed: set[str] = set()
@@ -38,6 +37,9 @@ def rewrite(sql: str) -> str:
     outside(r"\*\s+EXCLUDE\b", "* EXCEPT")
     outside(r"\bquantile_cont\s*\(", "percentile(")
     outside(r"\bunnest\s*\(", "explode(")
+    sql = "".join(parts)
+    sql = re.sub(r"(?i)\bstring_to_array\s*\(\s*((?:[^(),']|\([^()]*\)|'(?:[^']|'')*')+?)\s*,\s*'((?:[^']|'')*)'\s*\)", lambda m: f"split({m[1]}, '{_literal(m[2])}')", sql)
+    parts = re.split(r"('(?:[^']|'')*')", sql)
     outside(r"([\w.]+)\s*//\s*([\w.]+)", r"floor(\1 / \2)")
     outside(r"(?<![<>!=])\s~\s(?!=)", " RLIKE ")
     for k in range(1, len(parts), 2):
@@ -48,9 +50,12 @@ def rewrite(sql: str) -> str:
     outside(r"\bstrftime\s*\(", "date_format(")
     outside(r"\bstrptime\s*\(", "to_timestamp(")
     sql = "".join(parts)
-    m = re.fullmatch(r"(?is)\s*(select\b.*?)\bqualify\b(.*?)(\border\s+by\b.*|\blimit\b.*)?", sql)
-    if m:
-        sql = _qualify(m[1], m[2], m[3] or "")
+    top = _outermost(sql)
+    q = re.search(r"(?i)\bqualify\b", top)
+    if q and re.match(r"(?i)\s*select\b", top):
+        rest = re.search(r"(?i)\border\s+by\b|\blimit\b", top[q.end() :])
+        end = q.end() + rest.start() if rest else len(sql)
+        sql = _qualify(sql[: q.start()], sql[q.end() : end], sql[end:])
     m = re.fullmatch(r"(?is)\s*select\s+distinct\s+on\s*\(([^)]*)\)\s*(.*?)\s+from\s+(.*?)(?:\border\s+by\s+(.*))?", sql)
     if m:
         order = m[4] or m[1]
@@ -58,6 +63,28 @@ def rewrite(sql: str) -> str:
     return sql
 
 
+def _literal(text: str) -> str:
+    """A delimiter as a pattern in a SQL string."""
+    return "".join(c if c.isalnum() or c in " ,;:_'" else "[\\\\" + c + "]" if c in "\\]^" else f"[{c}]" for c in text)
+
+
+def _outermost(sql: str) -> str:
+    """The statement with everything in parentheses or quotes blanked, of the same length."""
+    out, depth, quote = [], 0, ""
+    for c in sql:
+        if quote:
+            out.append(" ")
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+            out.append(" ")
+        else:
+            depth -= c == ")"
+            out.append(c if depth == 0 and c not in "()" else " ")
+            depth += c == "("
+    return "".join(out)
+
+
 def _qualify(select: str, condition: str, rest: str) -> str:
     """The windows of a QUALIFY condition as columns of a subquery."""
     windows: list[str] = []

@@ -221,8 +221,10 @@ class Pipeline:
         return PipelineRunner(self, self.spark.range(start, stop, step).withColumnRenamed("id", "index"))
 
     def iter_dataset(self, name: str) -> PipelineRunner:
-        packed = self.datasets[name].select(F.struct("*").alias(name))
-        return PipelineRunner(self, scan.with_index(packed))
+        rows = self.datasets[name]
+        if "__ordinal" in rows.columns:
+            return PipelineRunner(self, rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "__ordinal"]).alias(name), F.col("__ordinal").alias("index")))
+        return PipelineRunner(self, scan.with_index(rows.select(F.struct("*").alias(name))))
 
 
 class _Steps:

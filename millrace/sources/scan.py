@@ -169,11 +169,17 @@ def simple_yaml(text: str) -> dict:
 
 
 def mixed(frames: dict[str, DataFrame]) -> DataFrame:
-    """The Cartesian product of named datasets, each as a struct; the first is the outermost. This is the operator's meaning, and the only product in the library."""
+    """The Cartesian product of named datasets, each as a struct, and __ordinal: the first is the outermost.
+
+    A product is this operator's meaning, and it is the only one in the library besides one-row sides.
+    """
     out = None
     for name, df in frames.items():
-        packed = df.select(F.struct("*").alias(name))
-        out = packed if out is None else out.crossJoin(packed)
+        packed = with_index(df.select(F.struct("*").alias(name)), f"__i_{name}")
+        if out is None:
+            out = packed.withColumnRenamed(f"__i_{name}", "__ordinal")
+        else:
+            out = out.crossJoin(packed).withColumn("__ordinal", F.col("__ordinal") * df.count() + F.col(f"__i_{name}")).drop(f"__i_{name}")
     return out
 
 

@@ -148,7 +148,7 @@ def openapi_functions(document: dict) -> list[dict]:
                 schema = resolve(body)
                 properties.update(schema.get("properties", {}))
                 required += schema.get("required", [])
-            name = op.get("operationId") or re.sub(r"[^A-Za-z0-9_]+", "_", f"{method}_{path}").strip("_")
+            name = op.get("operationId") or re.sub(r"[^A-Za-z0-9]+", "_", f"{method}_{path}").strip("_")
             rows.append({"type": "function", "name": name, "description": op.get("description") or op.get("summary") or "", "parameters": {"type": "object", "properties": json.dumps(properties), "required": list(dict.fromkeys(required)), "additionalProperties": False}, "strict": True})
     return rows
 
