@@ -1,7 +1,7 @@
 """Operator 2: main text of HTML pages by a tree-structured graphical model.
 
-A page becomes a tree of block elements and text runs. Each node has a potential from a logistic regression over its tag, class
-and id words, length and link density; each edge has a parent-child potential by the child's tag. Sum-product
+A page becomes a tree of block elements and text runs. Each node has a log-linear potential of its tag, class and
+id words and link density; each edge has a parent-child potential by the child's tag. Sum-product
 messages upward and then downward give every node's marginal of being content; text runs above one half are kept. Both
 kinds of potentials are trained from labelled pages (a parameter; the default set is generated below from a seed).
 
@@ -165,27 +165,23 @@ def parse(page: str) -> Tree:
 
 
 def kinds(tree: Tree) -> list[tuple]:
-    """What each node's potential depends on: tag, words, length, link density, and the parent's tag or the mean run."""
+    """What each node's potential depends on: tag, words, link density and, for a run, the parent's tag.
+
+    Lengths are left out on purpose: weak evidence from each of many paragraphs would add up against their block.
+    """
     n = len(tree.parent)
-    chars, links, runs = [len(t) for t in tree.text], list(tree.links), [t == "#text" for t in tree.tag]
+    chars, links = [len(t) for t in tree.text], list(tree.links)
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         chars[p] += chars[i]
         links[p] += links[i]
-        runs[p] += runs[i]
-    out = []
-    for i in range(n):
-        text = tree.tag[i] == "#text"
-        last = (tree.tag[tree.parent[i]], min(3, tree.text[i].count(". ") + tree.text[i].endswith("."))) if text else ("", min(9, (chars[i] // max(1, int(runs[i]))).bit_length()))
-        out.append((tree.tag[i], tree.words[i], min(9 if text else 11, chars[i].bit_length()), 4 * links[i] // max(chars[i], 1), *last))
-    return out
+    return [(tree.tag[i], tree.words[i], 4 * links[i] // max(chars[i], 1), tree.tag[tree.parent[i]] if tree.tag[i] == "#text" else "") for i in range(n)]
 
 
 def features(kind: tuple) -> list[str]:
     """Names of a kind's features."""
-    tag, words, size, link, up, last = kind
-    own = [f"tag={tag}", f"link={link}", f"{'text' if up else 'block'}={size}", *(f"word={w}" for w in words)]
-    return own + ([f"in={up}", f"dots={last}"] if up else [f"mean={last}"])
+    tag, words, link, up = kind
+    return [f"tag={tag}", f"link={link}", *(f"word={w}" for w in words), *([f"in={up}"] if up else [])]
 
 
 class Forest:
@@ -220,15 +216,15 @@ class Forest:
 class Model:
     """Unary weights by feature and log edge potentials by child tag."""
 
-    def __init__(self, weights: dict[str, float], bias: float, edges: dict[str, list]):
-        self.weights, self.bias, self.edges, self.known = weights, bias, edges, {}
+    def __init__(self, weights: dict[str, float], edges: dict[str, list]):
+        self.weights, self.edges, self.known = weights, edges, {}
 
     def z(self, kind: tuple) -> float:
         got = self.known.get(kind)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[kind] = self.bias + sum(self.weights.get(f, 0.0) for f in features(kind))
+            got = self.known[kind] = sum(self.weights.get(f, 0.0) for f in features(kind))
         return got
 
     def marginals(self, trees: Sequence[Tree]) -> list[np.ndarray]:
@@ -247,22 +243,20 @@ class Model:
         return ["\n".join(x for x, k, tag in zip(t.text, m.tolist(), t.tag) if k > 0 and tag == "#text") for t, m in zip(trees, self.marginals(trees))]
 
 
-def train(pages: Sequence[str], rounds: int = 150, rate: float = 0.25, ridge: float = 1.0) -> Model:
+def train(pages: Sequence[str], rounds: int = 200, rate: float = 0.4, ridge: float = 1.0) -> Model:
     """From pages whose elements are marked data-label="1" (content) or "0" (not) for themselves and what is in them.
 
-    Maximum likelihood of the labels of whole trees (Adagrad from zero); a block's label is that of most of its text.
+    Maximum likelihood of the labels of whole trees (Adagrad from zero); a block is content if any text in it is.
+    Edge potentials are distributions of the child's label given the parent's, so that a child without evidence of its
+    own says nothing about its parent, however many there are.
     """
     trees = [parse(p) for p in pages]
     forest, label = Forest(trees), []
     for t in trees:
-        good, total = [0] * len(t.parent), [0] * len(t.parent)
-        for i in range(len(t.parent) - 1, -1, -1):
-            if t.tag[i] == "#text":
-                total[i], good[i] = len(t.text[i]), len(t.text[i]) * (t.label[i] == 1)
-            if i:
-                total[t.parent[i]] += total[i]
-                good[t.parent[i]] += good[i]
-        label += [int(2 * g > n) for g, n in zip(good, total)]
+        good = [t.label[i] == 1 and tag == "#text" for i, tag in enumerate(t.tag)]
+        for i in range(len(good) - 1, 0, -1):
+            good[t.parent[i]] += good[i]
+        label += [int(g > 0) for g in good]
     y, names, rows, cols = np.array(label, dtype=float), {}, [], []
     for r, kind in enumerate(k for t in trees for k in kinds(t)):
         for f in features(kind):
@@ -273,28 +267,33 @@ def train(pages: Sequence[str], rounds: int = 150, rate: float = 0.25, ridge: fl
     of = np.array([tags.setdefault(tag, len(tags)) for t in trees for tag in t.tag])
     child = np.flatnonzero(forest.parent >= 0)
     yp, yc = y[forest.parent[child]].astype(int), y[child].astype(int)
-    w, b, e = np.zeros(len(names)), 0.0, np.zeros((len(tags), 2, 2))
-    sw, sb, se = np.full(len(w), 1e-9), 1e-9, np.full(e.shape, 1e-9)
+    w, e = np.zeros(len(names)), np.zeros((len(tags), 2, 2))
+    sw, se = np.full(len(w), 1e-9), np.full(e.shape, 1e-9)
     for _ in range(rounds):
-        z = np.bincount(rows, weights=w[cols], minlength=len(y)) + b
-        edge = e[of] + e[0]
+        z = np.bincount(rows, weights=w[cols], minlength=len(y))
+        whole = np.concatenate([e[:1], e[1:] + e[0]])
+        soft = whole - np.logaddexp(whole[:, :, :1], whole[:, :, 1:])
+        edge = soft[of]
         full, up, cavity = forest.beliefs(z, edge)
         gap = 1 / (1 + np.exp(-np.clip(full, -40, 40))) - y
         joint = edge[child] + np.stack([np.zeros(len(child)), cavity[child]], axis=1)[:, :, None] + np.stack([np.zeros(len(child)), up[child]], axis=1)[:, None, :]
         joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
         joint /= joint.sum(axis=(1, 2), keepdims=True)
         joint[np.arange(len(child)), yp, yc] -= 1
-        gw, gb = np.bincount(cols, weights=gap[rows], minlength=len(w)) + ridge * w, gap.sum()
-        ge = ridge * e
-        np.add.at(ge, of[child], joint)
-        ge[0] += joint.sum(axis=0)
-        sw, sb, se = sw + gw * gw, sb + gb * gb, se + ge * ge
-        w, b, e = w - rate * gw / np.sqrt(sw), b - rate * gb / np.sqrt(sb), e - rate * ge / np.sqrt(se)
-    edges = {t: (e[k] + e[0] * (k > 0)).tolist() for t, k in tags.items()}
-    return Model({f: float(w[k]) for f, k in names.items()}, float(b), edges)
-
-
-_CONTENT = ["<article{}>", "<main{}>", '<div class="content"{}>', '<div id="main-content"{}>', '<div class="post-body"{}>', '<section class="story"{}>', '<div class="entry-content"{}>', '<div class="article-text"{}>', '<article class="post"{}>', '<div id="article"{}>']
+        gw = np.bincount(cols, weights=gap[rows], minlength=len(w)) + ridge * w
+        raw = np.zeros(e.shape)
+        np.add.at(raw, of[child], joint)
+        raw -= np.exp(soft) * raw.sum(axis=2, keepdims=True)
+        ge = ridge * e + raw
+        ge[0] += raw[1:].sum(axis=0)
+        sw, se = sw + gw * gw, se + ge * ge
+        w, e = w - rate * gw / np.sqrt(sw), e - rate * ge / np.sqrt(se)
+    whole = np.concatenate([e[:1], e[1:] + e[0]])
+    soft = whole - np.logaddexp(whole[:, :, :1], whole[:, :, 1:])
+    return Model({f: float(w[k]) for f, k in names.items()}, {t: soft[k].tolist() for t, k in tags.items()})
+
+
+_CONTENT = ["<article{}>", "<article{}>", "<article{}>", "<article{}>", "<main{}>", '<div class="content"{}>', '<div id="main-content"{}>', '<div class="post-body"{}>', '<section class="story"{}>', '<div class="entry-content"{}>', '<div class="article-text"{}>', '<article class="post"{}>', '<div id="article"{}>']
 _OTHER = {
     "nav": ["<nav{}>", '<div class="menu"{}>', '<ul class="nav navbar"{}>', '<div class="breadcrumb breadcrumbs"{}>', '<div id="navigation" role="navigation"{}>', '<div class="pagination pager"{}>', '<div class="tags share social"{}>'],
     "line": ['<header{}>', '<div id="header" class="site-header masthead"{}>', '<div class="top bar banner" role="banner"{}>', "<footer{}>", '<div id="footer" class="site-footer"{}>', '<div class="copyright legal" role="contentinfo"{}>'],
@@ -306,7 +305,7 @@ _OTHER = {
 }
 
 
-def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 700, seed: int = 11) -> list[str]:
     """Pages of many layouts with marked content, generated from a seed."""
     rng = random.Random(seed)
     parts = "ba co di fu ge ha li mo nu pe ra si to ve zu la ner tin sal mor".split()
@@ -332,7 +331,7 @@ def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
         elif kind == "form":
             inner = rng.choice([f"<label>{words(1, 3)}</label><input name=q>", f"<p>{sentences(1, 1)}</p><input type=email><button>{words(1, 1)}</button>", f"<label>{words(1, 2)} <select><option>{words(1, 1)}</select></label>", words(1, 4) + "<input>"])
         elif kind == "talk":
-            item = rng.choice(["<div class=\"comment\"><p>{}</p></div>", "<p>{}</p>", "<li class=\"comment\"><b>x</b> {}</li>", "<article class=\"comment\"><p>{}</p></article>", "<div class=\"comment\"><span class=\"author\">z</span><p>{}</p></div>"])
+            item = rng.choice(["<div class=\"comment\"><p>{}</p></div>", "<p>{}</p>", "<li class=\"comment\"><b>x</b> {}</li>", *(["<article class=\"comment\"><p>{}</p></article>"] * (rng.random() < 0.2)), "<div class=\"comment\"><span class=\"author\">z</span><p>{}</p></div>"])
             inner = rng.choice([f"<h2>{words(1, 3)}</h2>", f"<h3>{words(1, 2)}</h3>", ""]) + "".join(item.format(sentences(1, 4)) for _ in range(rng.randint(1, 5)))
         elif kind == "side":
             inner = rng.choice([f"<h3>{words(1, 3)}</h3><ul>" + "".join(f"<li>{link(2, 6)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>", f"<p>{sentences(1, 3)}</p>", f"<h2>{words(1, 3)}</h2><p>{sentences(1, 2)}</p>", sentences(1, 2)])
@@ -345,10 +344,10 @@ def labelled_pages(n: int = 1000, seed: int = 11) -> list[str]:
         if rng.random() < 0.85:
             title = f"<h1>{words(2, 9)}</h1>"
             out.append(f"<header>{title}</header>" if rng.random() < 0.1 else title)
-        for _ in range(rng.choice([1, 1, 2, 3, 4, 6, 9, 14])):
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6, 9, 14, 30])):
             kind = rng.random()
             if kind < 0.7:
-                text = sentences(1, rng.choice([1, 2, 4, 9]))
+                text = rng.choice([sentences(1, rng.choice([1, 2, 4, 9])), sentences(1, rng.choice([1, 2, 4, 9])), words(1, 3) + " ", " ".join([words(1, 1)] * rng.choice([3, 30, 300])), " ".join(w + rng.choice(["%%%", " |", "***", ","]) for w in words(5, 60).split())])
                 out.append(rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{words(2, 6)} {link()} {text}</p>", f"<p>{text}</p>", f"<div>{text}</div>", f"<p>{words(1, 2)}.</p>"]))
             elif kind < 0.78:
                 out.append(f"<h2>{words(1, 6)}</h2>")
