@@ -64,6 +64,18 @@ def normalize_nfkc_column(text: Column) -> Column:
     return F.arrow_udf(run, returnType="string")(text)
 
 
+def count_tokens_column(text: Column, tokenizer: str) -> Column:
+    """Number of tokens by a tokenizer file of the tokenizers library, loaded once per batch."""
+
+    def run(column: pa.Array) -> pa.Array:
+        from tokenizers import Tokenizer
+
+        encoded = Tokenizer.from_file(tokenizer).encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)
+        return pa.array([None if not v.is_valid else len(e.ids) for v, e in zip(column, encoded)], type=pa.int64())
+
+    return F.arrow_udf(run, returnType="long")(text)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

@@ -139,6 +139,18 @@ class Pipeline:
     def with_mixed_dataset(self, name: str, datasets: Sequence[str]) -> Pipeline:
         return self.with_dataset(name, scan.mixed({d: self.datasets[d] for d in datasets}))
 
+    def from_yaml(self, path: str) -> Pipeline:
+        """Resources from a JSON or YAML file: `datasets` and `llms` (name: {type, …arguments}), `templates` (name: text), `workers`, `seed`."""
+        config = scan.read_config(path)
+        for section, prefix, suffix in (("datasets", "with_", "_dataset"), ("llms", "with_llm_", "")):
+            for name, options in (config.get(section) or {}).items():
+                options = dict(options)
+                getattr(self, f"{prefix}{options.pop('type')}{suffix}")(name, **options)
+        for name, template in (config.get("templates") or {}).items():
+            self.with_template(name, template)
+        self.workers, self.seed = int(config.get("workers", self.workers)), int(config.get("seed", self.seed))
+        return self
+
     # templates
 
     def with_template(self, name: str, template: str) -> Pipeline:

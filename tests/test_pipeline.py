@@ -276,3 +276,20 @@ def test_random_lambda_is_kept_through_gates(spark):
 def test_describe(spark):
     text = pipe(spark).iter_range(1).add_column("a", "1").filter("a == 1").describe()
     assert text.startswith("graph TD") and "ADD_COLUMN--0" in text
+
+
+def test_from_yaml(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"x": 1}\n')
+    (tmp_path / "c.json").write_text(json.dumps({"datasets": {"d": {"type": "jsonl", "path": str(tmp_path / "d.jsonl"), "sql": "select x + 1 as y from d"}}, "templates": {"t": "{{d.y}}"}, "seed": 7}))
+    p = pipe(spark).from_yaml(str(tmp_path / "c.json"))
+    assert rows(p.iter_dataset("d").render("t", "o"))[0]["o"] == "2" and p.seed == 7
+
+
+def test_token_counts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from pyspark.sql import functions as F
+
+    from millrace.functions.text import count_tokens_column
+
+    df = spark.createDataFrame([("hello world",), (None,), ("",)], "t string")
+    assert [r.n for r in df.select(count_tokens_column(F.col("t"), public.path("byte_bpe_50k.json")).alias("n")).collect()] == [2, None, 0]
