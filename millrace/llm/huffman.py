@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import as_batch, pick, work_dir
+from ._run import as_batch, pick, stash, tidied, work_dir
 
 MAX_BITS, BLOCK, MARK, TOGETHER = 16, 1 << 16, 128, 16
 MAGIC = b"MRH1"
@@ -148,7 +148,11 @@ def _put(path: str, data: bytes) -> None:
     own = f"{at}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as f:
         f.write(data)
-    system.move(own, at)
+    try:
+        system.move(own, at)
+    except OSError:  # some file systems don't move onto a file that is there
+        system.delete_file(at)
+        system.move(own, at)
 
 
 def _read(path: str) -> bytes:
@@ -157,52 +161,23 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def count_ids(documents: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
-    """Global counts of all ids over all whole texts. The driver gets one row per id in use: at most 65,536 rows."""
-    schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
+def _tokenize(path: str, tokenizer: str, end_id: int):
+    """From sorted (doc_id, text): one raw file of ids and documents a task, and rows of its name and of its counts by id."""
+    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id", pa.int32()), ("n", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._tokens import encoder
 
-        encode, total = encoder(tokenizer), np.zeros(1 << 16, dtype=np.int64)
-        for b in batches:
-            ids = b"".join([encode(t) for t in b.column(0).to_pylist()])
-            total += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16)
-            total[end_id] += b.num_rows
-        some = np.flatnonzero(total)
-        yield as_batch(schema, id=some.astype(np.int32), n=total[some])
-
-    rows = pick(documents, "text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << 16, dtype=np.int64)
-    counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
-    return counts
-
-
-def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
-    """Encode documents (doc_id, text) into files under `path`; returns one row per file: shard, path, n_docs, n_ids."""
-    spark = documents.sparkSession
-    lengths = code_lengths(count_ids(documents, tokenizer, end_id))
-    _put(f"{path}/lengths.bin", lengths.tobytes())
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+        shard, tok, end = TaskContext.get().partitionId(), encoder(tokenizer), int(end_id).to_bytes(2, "little")
+        codec, out, total = pa.Codec("zstd", compression_level=3), io.BytesIO(), np.zeros(1 << 16, dtype=np.int64)
+        docs, nulls, sizes, wait, waiting = [], [], [], [], 0
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._tokens import encoder
-
-        shard, tok = TaskContext.get().partitionId(), encoder(tokenizer)
-        end = int(end_id).to_bytes(2, "little")
-        codes = canonical(lengths)
-        out, wait, waiting = io.BytesIO(), [], 0
-        out.write(MAGIC)
-        docs, nulls, sizes = [], [], []
-
-        def flush(all_: bool) -> None:
-            nonlocal wait, waiting
-            ids = np.frombuffer(b"".join(wait), "<u2")
-            stop = len(ids) if all_ else len(ids) // BLOCK * BLOCK
-            for i in range(0, stop, BLOCK):
-                out.write(encode_block(ids[i : min(i + BLOCK, stop)], lengths, codes))
-            wait, waiting = [ids[stop:].tobytes()], len(ids) - stop
+        def flush() -> None:
+            raw = b"".join(wait)
+            total[:] += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << 16)
+            packed = codec.compress(raw, asbytes=True)
+            out.write(struct.pack("<II", len(raw), len(packed)) + packed)
+            wait.clear()
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -212,20 +187,76 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1,
                 docs.append(doc_id or 0)
                 nulls.append(doc_id is None)
                 sizes.append(len(ids) // 2)
-                if waiting >= 8 * BLOCK:
-                    flush(False)
-        flush(True)
+                if waiting >= TOGETHER * BLOCK:
+                    flush()
+                    waiting = 0
         if not docs:
             return
+        flush()
         at = out.tell()
         out.write(np.array(docs, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(sizes, "<u4").tobytes() + struct.pack("<QQ", len(docs), at))
-        name = f"{path}/ids-{shard:06d}.mrh"
+        name = f"{path}/raw/{shard:06d}"
         _put(name, out.getvalue())
-        yield as_batch(schema, shard=[shard], path=[name], n_docs=[len(docs)], n_ids=[sum(sizes)])
+        some = np.flatnonzero(total)
+        yield as_batch(schema, shard=[shard], path=[name], n_docs=[len(docs)], n_ids=[sum(sizes)], id=[None], n=[None])
+        none = [None] * len(some)
+        yield as_batch(schema, shard=none, path=none, n_docs=none, n_ids=none, id=some.astype(np.int32), n=total[some])
 
-    rows = pick(documents, "doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = rows.mapInArrow(encode, "shard int, path string, n_docs long, n_ids long").toArrow()  # one row per file
-    return spark.createDataFrame(files) if files.num_rows else spark.createDataFrame([], "shard int, path string, n_docs long, n_ids long")
+    return run
+
+
+def _encode(path: str, lengths: np.ndarray):
+    """From names of raw files: the coded files and their names."""
+    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, codes = pa.Codec("zstd"), canonical(lengths)
+        for b in batches:
+            for shard, name, n_docs, n_ids in zip(*(c.to_pylist() for c in b.columns)):
+                raw, out, rest, p = _read(name), io.BytesIO(), np.zeros(0, "<u2"), 0
+                at = struct.unpack("<QQ", raw[-16:])[1]
+                out.write(MAGIC)
+                while p < at:
+                    size, packed = struct.unpack_from("<II", raw, p)
+                    ids = np.concatenate([rest, np.frombuffer(codec.decompress(raw[p + 8 : p + 8 + packed], size), "<u2")])
+                    p += 8 + packed
+                    stop = len(ids) if p >= at else len(ids) // BLOCK * BLOCK
+                    for i in range(0, stop, BLOCK):
+                        out.write(encode_block(ids[i : min(i + BLOCK, stop)], lengths, codes))
+                    rest = ids[stop:]
+                table_at = out.tell()
+                out.write(raw[at:-8] + struct.pack("<Q", table_at))
+                final = f"{path}/ids-{shard:06d}.mrh"
+                _put(final, out.getvalue())
+                yield as_batch(schema, shard=[shard], path=[final], n_docs=[n_docs], n_ids=[n_ids])
+
+    return run
+
+
+def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
+    """Encode documents (doc_id, text) into files under `path`; returns one row per file: shard, path, n_docs, n_ids.
+
+    Texts are moved and encoded once: tasks over ranges of doc_id leave their ids in raw files, global counts give the
+    code, and the raw files are coded. The driver gets one row per id in use (at most 65,536) and one per file.
+    """
+    spark = documents.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    rows = pick(documents, "doc_id", "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    made = stash(rows.mapInArrow(tidied(_tokenize(path, tokenizer, end_id)), "shard int, path string, n_docs long, n_ids long, id int, n long"), "counts")
+    some = made.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << 16, dtype=np.int64)
+    counts[some["id"].to_numpy()] = some["n"].to_numpy()
+    lengths = code_lengths(counts)
+    _put(f"{path}/lengths.bin", lengths.tobytes())
+    raw = made.where("path is not null").select("shard", "path", "n_docs", "n_ids")
+    n = raw.count()
+    if not n:
+        return spark.createDataFrame([], "shard int, path string, n_docs long, n_ids long")
+    files = raw.repartition(n, "shard").mapInArrow(tidied(_encode(path, lengths)), "shard int, path string, n_docs long, n_ids long").toArrow()
+    system, at = _fs(f"{path}/raw")
+    system.delete_dir(at)
+    return spark.createDataFrame(files)
 
 
 def read_ids(files: DataFrame, path: str) -> DataFrame:
@@ -266,7 +297,7 @@ def read_ids(files: DataFrame, path: str) -> DataFrame:
                 yield as_batch(schema, doc_id=pa.array(docs, mask=nulls), start=begin + ends - sizes, n_tokens=sizes, ids_crc32=crcs)
 
     spots = spark.createDataFrame(placed, "path string, start long").repartition(len(placed))
-    return spots.mapInArrow(decode, ddl)
+    return spots.mapInArrow(tidied(decode), ddl)
 
 
 def _stretches(raw: bytes, stop: int, table: np.ndarray) -> Iterator[np.ndarray]:
