@@ -665,7 +665,8 @@ class _Steps:
         step = self._note("CHECK_EMBEDDING", input)
         threshold = threshold if treshold is None else treshold
         if embedding is None:
-            vector = dedup.unit(self._value(input)[0])
+            c, dynamic = self._value(input)
+            vector = dedup.unit(F.from_json(c, "array<double>") if dynamic else c)
         else:
             model = self.pipeline.embedders[embedding]
 

@@ -277,19 +277,33 @@ def _prints(spark, sf):
     return docs.select(F.col("doc_id").alias("id"), text_functions.simhash_column(text_functions.normalize_column(F.col("text"))).alias("print"))
 
 
+#: Copies of a fingerprint stand for one another: pairs are between the first documents of each.
+_FIRST_SQL = _SIMHASH_SQL + ", f AS (SELECT min(id) AS id, print FROM s GROUP BY print)"
+
+
+def _first_prints(spark, sf):
+    return _prints(spark, sf).groupBy("print").agg(F.min("id").alias("id"))
+
+
 @query(_SIMHASH_SQL + " SELECT id, print FROM s")
 def simhash_fingerprint(spark, sf):
     return _prints(spark, sf)
 
 
-@query(_SIMHASH_SQL + " SELECT a.id AS i, b.id AS j FROM s a JOIN s b ON a.id < b.id AND bit_count(xor(a.print, b.print)) <= 3")
+@query(_FIRST_SQL + " SELECT s.id, f.id AS first FROM s JOIN f USING (print)")
+def simhash_classes(spark, sf):
+    prints = dedup.stash(_prints(spark, sf), "prints")
+    return prints.join(prints.groupBy("print").agg(F.min("id").alias("first")), "print").select("id", "first")
+
+
+@query(_FIRST_SQL + " SELECT a.id AS i, b.id AS j FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.print, b.print)) <= 3")
 def simhash_pairs_t3(spark, sf):
-    return dedup.simhash_pairs(_prints(spark, sf), 3)
+    return dedup.simhash_pairs(_first_prints(spark, sf), 3)
 
 
 @query(_SIMHASH_SQL + " SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id < s.id AND bit_count(xor(s.print, b.print)) <= 3)")
 def simhash_any_earlier_t3(spark, sf):
-    prints = _prints(spark, sf)
+    prints = dedup.stash(_first_prints(spark, sf), "prints")
     return dedup.any_earlier(prints.select("id"), dedup.simhash_pairs(prints, 3))
 
 
@@ -441,11 +455,11 @@ def log_summary(spark, sf):
     return e.groupBy("level", "message").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
-@query(_SIMHASH_SQL + """, q AS (SELECT a.id, b.id AS near, bit_count(xor(a.print, b.print)) AS d FROM s a JOIN s b ON a.id <> b.id AND bit_count(xor(a.print, b.print)) <= 3)
+@query(_FIRST_SQL + """, q AS (SELECT a.id, b.id AS near, bit_count(xor(a.print, b.print)) AS d FROM f a JOIN f b ON a.id <> b.id AND bit_count(xor(a.print, b.print)) <= 3)
 SELECT id, near FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, near) <= 3""")
 def topk_neighbors(spark, sf):
-    """Up to three nearest of each document within distance 3: k is the report's meaning."""
-    prints = dedup.stash(_prints(spark, sf), "prints")
+    """Up to three nearest of each distinct fingerprint within distance 3: k is the report's meaning."""
+    prints = dedup.stash(_first_prints(spark, sf), "prints")
     pairs = dedup.simhash_pairs(prints, 3)
     both = pairs.select(F.col("i").alias("id"), F.col("j").alias("near")).union(pairs.select("j", "i"))
     p, q = prints.select("id", F.col("print").alias("p")), prints.select(F.col("id").alias("near"), F.col("print").alias("q"))
