@@ -30,7 +30,7 @@ from . import _text
 from ._run import as_batch, pick, stash, table, tidied
 
 WIDTH, PERCENT = 5, 90
-BAND_GROWTH, BLOCK, SEEN = 1.5, 256, 1 << 18
+BAND_GROWTH, BLOCK, SEEN, MOST_SKIPPED = 1.5, 256, 1 << 18, 8
 _U = np.uint64
 
 
@@ -54,7 +54,7 @@ def design(k: int) -> tuple[int, int, int]:
     """(n1, n2, k2) for distance k.
 
     Small distances enumerate: one first-level partition, of whose k + 3 parts all subsets of 3 are signatures.
-    Larger ones have k2 = 0, with some more partitions than k + 1, so that empty ones need no signature (see `signatures`).
+    Larger ones have k2 = 0, with some more partitions than k + 1, so that sparse ones need no signature (see `signatures`).
     """
     if k == 0:
         return 1, 1, 0
@@ -69,19 +69,24 @@ DESIGNS = [design(int(max_distance(2 * (int(BANDS[q + 1]) - 1)))) for q in range
 def signatures(s: np.ndarray, band: int) -> np.ndarray:
     """PartEnum signatures of a set of hashes in one band.
 
-    Where a signature is one partition, empty partitions, on which unlike sets agree, give none: with at most half
-    as many of them as the partitions on which similar sets must agree, the other half is left to find them by.
-    A set with more gives all its signatures.
+    Where a signature is one partition, partitions of few elements, on which sets agree that share a passage or
+    nothing, give none: all below the largest size for which they are at most half of the partitions on which similar
+    sets must agree. The other half is left to find them by: a partition on which two sets agree is as large in
+    both, and of two such bounds the higher leaves half of what the sets agree on.
     """
     n1, n2, k2 = DESIGNS[band]
     slots = n1 * n2
+    if slots == 1:  # distance 0: only equal sets are similar, and those are one class already
+        return np.zeros(0, dtype=_U)
     acc = np.zeros(slots, dtype=_U)
     place = (s % _U(slots)).astype(np.int64)
     np.add.at(acc, place, _text.mix(s ^ _U(0x5851F42D4C957F2D)))
-    bare = acc == 0
     acc = _text.mix(acc + np.arange(slots, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(band * 7919 + 1))
     if n2 == 1:
-        return acc[~bare] if k2 == 0 and 2 * int(bare.sum()) <= n1 - max_distance(len(s) + len(s) * 100 // PERCENT) else acc
+        held = np.bincount(place, minlength=slots)
+        below = np.cumsum(np.bincount(np.minimum(held, MOST_SKIPPED), minlength=MOST_SKIPPED + 1))[:MOST_SKIPPED]
+        least = int((2 * below <= n1 - max_distance(len(s) + len(s) * 100 // PERCENT)).sum())
+        return acc[held >= least]
     acc = acc.reshape(n1, n2)
     return np.concatenate([_text.mix(acc[:, list(c)].sum(axis=1, dtype=_U) + _U(97 * k + 13)) for k, c in enumerate(combinations(range(n2), n2 - k2))])
 
