@@ -183,9 +183,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
     return train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
 
 
-def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keep columns of documents with tox_score, tox_hits and tox_weight (n_words: folded words)."""
-    added = "tox_score double, tox_hits int, tox_weight double, tox_words int"
+def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), prefix: str = "tox") -> DataFrame:
+    """keep columns of documents with tox_score, tox_hits, tox_weight and tox_words (folded words), or another prefix."""
+    extra = [f"{prefix}_score", f"{prefix}_hits", f"{prefix}_weight", f"{prefix}_words"]
+    added = ", ".join(f"`{n}` {t}" for n, t in zip(extra, ("double", "int", "double", "int")))
     own = [c for c in keep if c != "text"]
     kept = documents.select(*[F.col(f"`{c}`") for c in own], F.col("text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
@@ -202,7 +203,7 @@ def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",))
                 words.append(f.count(" "))
             s = model.score(np.array(weight, dtype=float), np.array(words, dtype=float))
             names = [n for n in b.schema.names if n in keep]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(s), pa.array(hits, pa.int32()), pa.array(weight, pa.float64()), pa.array(words, pa.int32())], names=[*names, "tox_score", "tox_hits", "tox_weight", "tox_words"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(s), pa.array(hits, pa.int32()), pa.array(weight, pa.float64()), pa.array(words, pa.int32())], names=[*names, *extra])
 
     small_batches(documents.sparkSession)
     return kept.mapInArrow(tidied(run), f"{ddl}, {added}")
@@ -217,4 +218,4 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model doesn't reject, with their own columns."""
     names = documents.columns
-    return score(documents, fit(documents, labels), keep=names).where("tox_score < 0.5").select(*[F.col(f"`{c}`") for c in names])
+    return score(documents, fit(documents, labels), keep=names, prefix="__tox").where("__tox_score < 0.5").select(*[F.col(f"`{c}`") for c in names])

@@ -155,6 +155,6 @@ def test_toxicity_cases(spark):
     m = toxicity.fit(docs, labels)
     got = {r.doc_id: r.tox_score for r in toxicity.score(docs, m).collect()}
     assert got[501] > 0.5 > got[500] == got[None] and all((got[i] > 0.5) == bool(i % 2) for i in range(200))
-    assert sorted(str(r.doc_id) for r in toxicity.clean(docs.drop("tox_score"), labels).collect()) == sorted(["None", "500", *map(str, range(0, 200, 2))])
+    assert sorted(str(r.doc_id) for r in toxicity.clean(docs, labels).collect()) == sorted(["None", "500", *map(str, range(0, 200, 2))])
     assert all(r.tox_score < 1e-9 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect())
     assert toxicity.score(docs.limit(0), m).count() == 0
