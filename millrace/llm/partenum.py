@@ -137,7 +137,7 @@ def _profile(width: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (sig, key, n) sorted by sig: blocks of the members of each signature that several classes share.
+    """From (sig, key, n) in order: blocks of the members of each signature that several classes share.
 
     A signature of very many classes gives one row per pair of blocks, so that no task pairs all of them.
     """
@@ -151,10 +151,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     def rows(key: np.ndarray, n: np.ndarray) -> list[tuple]:
-        both = np.unique(np.stack([key, n], axis=1), axis=0)
-        if len(both) < 2:
-            return []
-        return out([(both[i : i + BLOCK, 0], both[i : i + BLOCK, 1]) for i in range(0, len(both), BLOCK)])
+        return out([(key[i : i + BLOCK], n[i : i + BLOCK]) for i in range(0, len(key), BLOCK)])
 
     def batch(rs: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rs], type=pa.list_(pa.int64())) for k in range(4)], schema=schema)
@@ -162,6 +159,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
     for b in batches:
         sig, key, n = (np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(keep, b.columns))
+        new = np.ones(len(sig), dtype=bool)  # tasks that saw copies of a class gave its signatures each
+        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
+        sig, key, n = sig[new], key[new], n[new]
         ends = np.flatnonzero(sig[1:] != sig[:-1]) + 1
         edges = np.concatenate([[0], ends])
         many = np.flatnonzero(np.diff(edges) > 1)
@@ -169,7 +169,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = [x[edges[-1] :] for x in (sig, key, n)]
         for lo in range(0, len(found), 1000):
             yield batch(found[lo : lo + 1000])
-    if found := rows(keep[1], keep[2]):
+    if len(keep[0]) > 1:
+        found = rows(keep[1], keep[2])
         for lo in range(0, len(found), 1000):
             yield batch(found[lo : lo + 1000])
 
@@ -220,7 +221,7 @@ def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame
     profile = stash(docs.mapInArrow(tidied(_profile(width)), "doc_id long, n long, key long, sigs array<long>"), "profile")
     sigs = profile.where("sigs is not null").select(F.explode("sigs").alias("sig"), "key", F.col("n").cast("int").alias("n"))
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = sigs.repartition(parts, "sig").sortWithinPartitions("sig")
+    sigs = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key", "n")
     blocks = sigs.mapInArrow(tidied(_groups), "a array<long>, na array<long>, b array<long>, nb array<long>")
     pairs = blocks.mapInArrow(tidied(_pairs), "a long, na long, b long, nb long").groupBy("a", "na", "b", "nb").count()
     pairs = stash(pairs.where(F.col("count") >= _needed("na", "nb")).drop("count"), "pairs")
