@@ -256,18 +256,30 @@ def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame
 
 
 def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id of each row of documents (doc_id, text), and class_key, class_size."""
+    """doc_id, n_shingles, n_similar, component_id of each row of documents (doc_id, text), class_key, class_size, and leads.
+
+    Components are of classes, not of doc_ids, which may repeat or be null. Of each one class leads: that of the smallest
+    doc_id (the smallest key of several); leads marks the rows of it that have that doc_id, and all rows without shingles.
+    """
     profile, links = similar_classes(documents, width)
     some = profile.where("n > 0")
-    classes = stash(some.groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "classes")
-    a, b = (classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("copies").alias(f"c{c}"), F.col("first").alias(f"f{c}")) for c in "ab")
+    classes = some.groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    a, b = (classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("copies").alias(f"c{c}"), F.col("node").alias(f"i{c}")) for c in "ab")
     full = stash(links.join(a, ["a", "na"]).join(b, ["b", "nb"]), "full")
     near = full.select(F.col("a").alias("key"), F.col("na").alias("n"), F.col("cb").alias("c")).union(full.select("b", "nb", "ca")).groupBy("key", "n").agg(F.sum("c").alias("near"))
-    roots = components(full.where("fa is not null and fb is not null").select(F.col("fa").alias("u"), F.col("fb").alias("v")))
-    per = classes.join(near, ["key", "n"], "left").join(roots, F.col("first") == F.col("node"), "left")
-    per = per.select("key", "n", F.col("copies"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"), F.coalesce("root", "first").alias("component_id"))
-    out = some.join(per, ["key", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id", F.col("key").alias("class_key"), F.col("copies").alias("class_size"))
-    none = profile.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("class_key"), F.lit(1).cast("long").alias("class_size"))
+    roots = components(full.select(F.col("ia").alias("u"), F.col("ib").alias("v")))
+    roots = roots.union(roots.select("root", "root").distinct())
+    heads = roots.join(classes, "node").groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "n", "node")).alias("head"))
+    roots = roots.join(heads, "root").select("node", "head")
+    per = classes.join(near, ["key", "n"], "left").join(roots, "node", "left")
+    per = per.select(
+        "key", "n", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_similar"),
+        F.when(F.col("head").isNull(), F.col("first")).otherwise(F.col("head.first")).alias("component_id"), F.coalesce(F.col("head.node") == F.col("node"), F.lit(True)).alias("leads"),
+    )
+    leads = (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("leads")
+    out = some.join(per, ["key", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "n_similar", "component_id", F.col("key").alias("class_key"), F.col("copies").alias("class_size"), leads)
+    none = profile.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_similar"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("class_key"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("leads"))
     return out.unionByName(none)
 
 
