@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._run import as_batch, pick, stash, table, tidied
+from ._run import as_batch, pick, small_batches, stash, table, tidied
 
 WIDTH, PERCENT = 5, 90
 BAND_GROWTH, BLOCK, SEEN, MOST_SKIPPED = 1.5, 256, 1 << 18, 8
@@ -283,17 +283,35 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.unionByName(none)
 
 
+def with_class(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """documents with __set, the (key, n) of each row's set of shingles."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        got = [(set_key(s), len(s)) for s in sets_of(texts, width)]
+        return pa.StructArray.from_arrays([pa.array([g[k] for g in got], type=pa.int64()) for k in (0, 1)], names=["key", "n"])
+
+    return documents.withColumn("__set", F.arrow_udf(run, returnType="struct<key: bigint, n: bigint>")("text"))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; rows that repeat it are one document too.
+    """One row of each component: one that `near_duplicates` says leads; and every row without words, which copies nothing.
 
-    Texts without words stay, each once per doc_id. What is dropped is the smaller side of the join, and only rows of
-    repeated doc_ids are grouped, so that texts needn't move where few documents go.
+    What is dropped is the smaller side of the join, so that texts needn't move where few documents go. Only where a
+    doc_id is repeated (or null) it doesn't tell the rows apart: sets of those rows are made again, and each row is judged by its own.
     """
-    near = stash(near_duplicates(documents).select(F.col("doc_id").alias("__id"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("__out")), "kept")
-    by_id = stash(near.groupBy("__id").agg(F.min("__out").alias("__out"), F.count("*").alias("__n")).where("__out or __n > 1"), "decided")
-    gone, again = by_id.select("__id"), by_id.where("not __out").select("__id")
+    small_batches(documents.sparkSession)
+    near = near_duplicates(documents).groupBy(F.col("doc_id").alias("__id"), F.struct(F.col("class_key").alias("key"), F.col("n_shingles").alias("n")).alias("__of")).agg(F.count("*").alias("rows"), F.max("leads").alias("leads"))
+    stay = F.when(F.col("__of.n") == 0, F.col("rows")).otherwise(F.col("leads").cast("long"))
+    near = stash(near.select("__id", "__of", "rows", stay.alias("stay")), "kept")
+    by_id = stash(near.groupBy("__id").agg(F.sum("rows").alias("rows"), F.sum("stay").alias("stay")).where("stay < rows"), "decided")
+    gone, again = by_id.select("__id"), by_id.where("stay > 0").select("__id")
     once = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
-    return once.unionByName(documents.join(again, documents["doc_id"].eqNullSafe(again["__id"]), "left_semi").dropDuplicates(["doc_id"]))
+    some = documents.join(again, documents["doc_id"].eqNullSafe(again["__id"]), "left_semi")
+    has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    lead = near.where("stay > 0 and __of.n > 0").select("__id", "__of").join(again.withColumnRenamed("__id", "__again"), F.col("__id").eqNullSafe(F.col("__again")), "left_semi")
+    led = with_class(some.where(has_words))
+    led = led.join(lead, led["doc_id"].eqNullSafe(lead["__id"]) & (led["__set"] == lead["__of"]), "left_semi").dropDuplicates(["doc_id", "__set"]).drop("__set")
+    return once.unionByName(led).unionByName(some.where(~has_words))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

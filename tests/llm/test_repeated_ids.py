@@ -62,3 +62,29 @@ def test_classes_of_one_id_stay_apart(spark):
 def test_components_of_mixed_ids(spark):
     docs = mixed()
     assert components(spark, docs) == sorted((x for x, _ in compare(docs)), key=str)
+
+
+def kept(spark, docs):
+    return [(r.doc_id, r.text) for r in partenum.keep_one(frame(spark, docs)).collect()]
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    docs = [(None, text(f"t{k}")) for k in range(9)] + [(None, ""), (None, None), (4, text("t")), (4, text("u"))]
+    assert sorted(kept(spark, docs), key=str) == sorted(docs, key=str)
+
+
+def test_a_unique_text_stays_where_its_id_repeats(spark):
+    docs = [(1, text("a")), (7, text("a", "b")), (7, text("c"))]
+    assert sorted(kept(spark, docs)) == [docs[0], docs[2]]
+
+
+def test_one_row_of_each_component_stays(spark):
+    docs = mixed()
+    want = compare(docs)
+    got = kept(spark, docs)
+    groups = {}
+    for (_, x), (y, members) in zip(docs, want):
+        groups.setdefault(members, (y[2], set()))[1].add(x)
+    assert len(got) == len(groups)
+    for first, texts in groups.values():
+        assert sum(t in texts for d, t in got if d == first) >= 1 and (texts & {"", " ", None} or sum(t in texts for _, t in got) == 1)
