@@ -1,15 +1,17 @@
 """Operator 8: approximate nearest neighbours by a navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard's hierarchical graph is built in batches by vectorised
+Equal vectors are one node, which has the smallest k + 1 of their ids (enough for any query, itself left out): copies
+neither fill links or beams nor hide ties, which go to the smallest ids of all copies. Nodes are dealt to shards by a
+hash of the vector. Each shard's hierarchical graph is built in batches by vectorised
 beam search and kept as flat neighbour arrays; every query searches every shard, the best of each shard are scored
 again in double precision on the original vectors, and shard results are merged. For inner products, vectors
 get one more component that brings all to one length, so that the graph lives in a metric space.
 
 The number of shards follows the cluster, not the input, up to `SHARD_ROWS` rows a shard; beyond that it grows with the
-input, so that a shard's graph stays within a task's memory. All rows are indexed. Queries pass through a shard in blocks.
+input, so that a shard's graph stays within a task's memory. All vectors are indexed. Queries pass through a shard in blocks.
 
 Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id or
-of another width than most. Repeated ids are candidates each (but not for a query of the same id); ties go to the smaller vec_id.
+of another width than most. Repeated ids are candidates each (but not for a query of the same id); a repeated query with its vector asks once; ties go to the smaller vec_id.
 Empty tables give no rows. Extra columns are not read.
 """
 
@@ -203,26 +205,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def build(rows: DataFrame, shards: int, top: float) -> DataFrame:
-    """One row per shard that has rows: shard, ids, vectors (doubles) and graph, as binaries."""
-    schema = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())])
+def distinct(rows: DataFrame, k: int = K) -> DataFrame:
+    """(v, ids) of the distinct vectors of rows: the smallest k + 1 ids, ascending, each up to k times if it is repeated."""
+    v = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))  # -0.0 is 0.0
+    copies = rows.select("vec_id", v.alias("v")).select("vec_id", "v", F.xxhash64("v").alias("h")).groupBy("h", "v", "vec_id").agg(F.count("*").alias("c"))
+    first = copies.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    ids = F.sort_array(F.collect_list(F.struct("vec_id", F.least("c", F.lit(k)).cast("int").alias("c"))))
+    return first.groupBy("h", "v").agg(ids.alias("ids")).select("v", F.flatten(F.transform("ids", lambda x: F.array_repeat(x["vec_id"], x["c"]))).alias("ids"))
+
+
+def build(nodes: DataFrame, shards: int, top: float) -> DataFrame:
+    """One row per shard that has nodes (v, ids): shard, ids of all nodes, where each node's end, vectors (doubles) and graph, as binaries."""
+    schema = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            s, ids, v = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))
+            s, v = b.column(0).to_numpy(), _matrix(b.column(2))
             for shard in np.unique(s):
-                held.setdefault(int(shard), []).append((ids[s == shard], v[s == shard]))
+                held.setdefault(int(shard), []).append((b.column(1).filter(pa.array(s == shard)), v[s == shard]))
         for shard, parts in held.items():
-            ids, v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            by = np.lexsort((*v.T[::-1][:1], ids))
-            ids, v = ids[by], v[by]
+            ids, v = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy()).astype(np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
+            by = np.lexsort((*v.T[::-1][:1], flat[starts]))
+            v, sizes = v[by], (ends - starts)[by]
+            flat, ends = flat[_spans(starts[by], sizes)], np.cumsum(sizes)
             extra = np.sqrt(np.maximum(top * top - (v * v).sum(axis=1), 0))
             x = (np.concatenate([v, extra[:, None]], axis=1) / top).astype(np.float32)
-            yield as_batch(schema, shard=[shard], ids=[ids.tobytes()], vectors=[v.tobytes()], graph=[Graph(x).to_bytes()])
+            yield as_batch(schema, shard=[shard], ids=[flat.tobytes()], ends=[ends.tobytes()], vectors=[v.tobytes()], graph=[Graph(x).to_bytes()])
+
+    dealt = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "ids", "v")
+    return dealt.repartition(shards, "shard").mapInArrow(run, "shard int, ids binary, ends binary, vectors binary, graph binary")
+
 
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    return dealt.repartition(shards, "shard").mapInArrow(run, "shard int, ids binary, vectors binary, graph binary")
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[0] .. starts[0] + sizes[0] - 1, then those of the next span, and so on."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 def search(index: DataFrame, queries: DataFrame, shards: int, k: int = K, ef: int = EF_SEARCH) -> DataFrame:
@@ -234,34 +253,39 @@ def search(index: DataFrame, queries: DataFrame, shards: int, k: int = K, ef: in
         for b in batches:
             shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
             for r in np.flatnonzero(kind == 0):
-                ids = np.frombuffer(b.column(4)[r].as_py(), np.int64)
+                ids, ends = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in (4, 5))
                 loaded.clear()  # rows are sorted by shard: one graph at a time
-                loaded[int(shard[r])] = (ids, np.frombuffer(b.column(5)[r].as_py()).reshape(len(ids), -1), Graph.from_bytes(b.column(6)[r].as_py()))
+                loaded[int(shard[r])] = (ids, ends, np.frombuffer(b.column(6)[r].as_py()).reshape(len(ends), -1), Graph.from_bytes(b.column(7)[r].as_py()))
                 yield from answer(b, (kind == 1) & (shard == shard[r]), loaded[int(shard[r])])
             for s in np.unique(shard[kind == 1]):
                 if not ((kind == 0) & (shard == s)).any() and int(s) in loaded:
                     yield from answer(b, (kind == 1) & (shard == s), loaded[int(s)])
 
     def answer(b: pa.RecordBatch, which: np.ndarray, held: tuple) -> Iterator[pa.RecordBatch]:
-        ids, vectors, graph = held
+        ids, ends, vectors, graph = held
         part = b.filter(pa.array(which))
-        block = max(16, min(512, 64_000_000 // (len(ids) + 1)))
+        block = max(16, min(512, 64_000_000 // (len(ends) + 1)))
         for lo in range(0, part.num_rows, block):
             qid, q = part.column(2).slice(lo, block).to_numpy(), _matrix(part.column(3).slice(lo, block))
             q32 = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
             q32 = (q32 / np.linalg.norm(q32, axis=1, keepdims=True)).astype(np.float32)
             found = graph.search(q32, 2 * k + 1, ef)
             score = np.einsum("nd,nkd->nk", q, vectors[np.maximum(found, 0)])
-            near = ids[np.maximum(found, 0)]
-            score = np.where((found < 0) | (near == qid[:, None]), -np.inf, score)
-            order = np.lexsort((near, -score), axis=1)[:, :k]
-            s, v = np.take_along_axis(score, order, axis=1), np.take_along_axis(near, order, axis=1)
-            ok = s > -np.inf
-            yield as_batch(schema, query_id=np.repeat(qid, ok.sum(axis=1)), vec_id=v[ok], score=s[ok])
+            row, col = np.nonzero(found >= 0)
+            node = found[row, col]
+            starts = np.where(node > 0, ends[node - 1], 0)
+            sizes = ends[node] - starts
+            near, score, row = ids[_spans(starts, sizes)], np.repeat(score[row, col], sizes), np.repeat(row, sizes)
+            other = near != qid[row]
+            near, score, row = near[other], score[other], row[other]
+            order = np.lexsort((near, -score, row))
+            near, score, row = near[order], score[order], row[order]
+            ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield as_batch(schema, query_id=qid[row[ok]], vec_id=near[ok], score=score[ok])
 
     none = F.lit(None)
-    parts = index.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("query_id"), none.cast("array<double>").alias("v"), "ids", "vectors", "graph")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "query_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("vectors"), none.cast("binary").alias("graph"))
+    parts = index.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("query_id"), none.cast("array<double>").alias("v"), "ids", "ends", "vectors", "graph")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "query_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("ends"), none.cast("binary").alias("vectors"), none.cast("binary").alias("graph"))
     rows = parts.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -271,13 +295,14 @@ def search(index: DataFrame, queries: DataFrame, shards: int, k: int = K, ef: in
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """The k nearest others of each vector whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
-    rows = stash(usable(vectors), "vectors")
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
+    rows = usable(vectors)
+    nodes = stash(distinct(rows, k), "vectors")
+    facts = nodes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
     if not facts.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards = max(8, spark.sparkContext.defaultParallelism, -(-facts.n // SHARD_ROWS))
-    index = stash(build(rows, shards, float(facts.top)), "index")
-    return search(index, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v"), shards, k)
+    index = stash(build(nodes, shards, float(facts.top)), "index")
+    return search(index, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct(), shards, k)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
