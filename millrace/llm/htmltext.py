@@ -29,6 +29,7 @@ from ._run import as_batch, pick, table, tidied
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLOSED = re.compile(r"""(?<!=)(?:^|[\s"']|(?:^|\s)[^\s=]+)/\Z""")  # a slash at the end that no unquoted value takes in
 _WORD = re.compile(r"[a-z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,7 +115,7 @@ def parse(page: str) -> Tree:
                 flush()
             continue
         if tag in DROPPED:
-            if tag in ("head",) and (m[3] or m[6] or "").endswith("/"):
+            if tag in ("head", "svg", "math") and _CLOSED.search(m[3] or m[6] or ""):
                 continue
             if tag in RAW:
                 e = _RAW_END[tag].search(page, at)
