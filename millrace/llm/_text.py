@@ -15,26 +15,14 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
+_R = 0x9E3779B97F4A7C15
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept between calls."""
-    got = _powers.get(name)
-    if got is None or len(got) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        step = np.full(size, base, dtype=_U)
-        step[0] = 1
-        got = _powers[name] = np.multiply.accumulate(step)
-    return got
+_keys = np.zeros(0, dtype=_U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def place_keys(n: int) -> np.ndarray:
+    """A key for each place in a word, odd and without structure: no two words are made to collide, however regular."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=_U) * _U(_R)) | _U(1)
+    return _keys
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,9 +83,15 @@ def _scan(b: np.ndarray, heads: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray
     end = np.flatnonzero(~white & stop) + 1
     total = np.empty(len(b) + 1, dtype=_U)
     total[0] = 0
-    np.cumsum((b.astype(_U) + _U(1)) * _power(_R, len(b), "r")[: len(b)], out=total[1:])
-    h = (total[end] - total[start]) * _power(_R_INV, len(b) + 1, "i")[start]
-    return start, mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    size = end - start
+    keys = place_keys(int(size.max(initial=0)) + 1)
+    begin = np.zeros(len(b), dtype=np.int64)
+    begin[start] = start
+    np.maximum.accumulate(begin, out=begin)
+    place = np.minimum(np.arange(len(b)) - begin, len(keys) - 1)  # gaps count to no word, whatever their key
+    np.cumsum((b.astype(_U) + _U(1)) * keys[place], out=total[1:])
+    h = total[end] - total[start]
+    return start, mix(h + size.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def words(raw: np.ndarray, at: np.ndarray, i: int, j: int, lower: bool = True, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:

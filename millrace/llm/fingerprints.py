@@ -2,11 +2,12 @@
 
 A sketch grows with its text, two sketches merge by union, and the share of one that lies in the other estimates
 containment however unequal the texts are. Shingles are `WIDTH` lower-cased words (fewer words: the whole sequence).
-Where no hash is below the fraction, the smallest one stands in, marked, so that each text with words has a
-sketch; a merge drops it once a real one is there. The fingerprint string is the base64 of the sorted 32 upper bits.
+The fraction is 1/4; a text of at most `FEW` distinct shingles keeps all of its hashes, so that short texts are compared exactly.
+Sketches of both kinds are compared, and merged, below the fraction. The fingerprint string is the base64 of the
+sorted 32 upper bits, after "=" where all are kept.
 
 Following documents (ascending doc_id, ties by text hash, nulls first) are brought together by ranges of doc_id;
-a doc_id that fills several ranges is split by text hash. Each range also gets the first document of the next one,
+a doc_id (or null) that fills several ranges is split by text hash. Each range also gets the first document of the next one,
 found from one row per range. Texts are moved once.
 
 Nulls: a null text is empty; two texts without words are alike (1.0), one without and one with are not (0.0).
@@ -28,62 +29,67 @@ from pyspark.sql import functions as F
 from . import _text
 from ._run import as_batch, pick, table, tidied
 
-WIDTH, FRACTION_BITS = 3, 3
+WIDTH, FRACTION_BITS, FEW = 3, 2, 256
 _U = np.uint64
+Sketch = tuple[np.ndarray, bool]
 
 
-def sketches(texts: pa.Array, width: int = WIDTH, bits: int = FRACTION_BITS) -> Iterator[tuple[np.ndarray, bool]]:
-    """(sorted distinct 32-bit values, whether they are real) of each text: hashes below 2 ** -bits of the range."""
+def sketches(texts: pa.Array, width: int = WIDTH, bits: int = FRACTION_BITS, few: int = FEW) -> Iterator[Sketch]:
+    """(sorted distinct 32-bit values, whether they are all) of each text: hashes below 2 ** -bits of the range, or all of few."""
     raw, at = _text.utf8(texts)
-    limit = _U(1 << (64 - bits))
     for i, j in _text.chunks(at):
         h, bounds = _text.words(raw, at, i, j)
         s, bounds = _text.shingles(h, bounds, width)
-        low = np.flatnonzero(s < limit)
-        kept, edges = (s[low] >> _U(32 - bits)).astype(np.uint32), np.searchsorted(low, bounds)
+        top = (s >> _U(32)).astype(np.uint32)
+        low = np.flatnonzero(top < 1 << (32 - bits))
+        kept, edges = top[low], np.searchsorted(low, bounds)
         for t in range(j - i):
-            if edges[t + 1] > edges[t]:
-                yield np.unique(kept[edges[t] : edges[t + 1]]), True
-            elif bounds[t + 1] > bounds[t]:
-                yield (s[bounds[t] : bounds[t + 1]].min(keepdims=True) >> _U(32)).astype(np.uint32), False
-            else:
-                yield np.zeros(0, np.uint32), True
+            n, part = int(bounds[t + 1] - bounds[t]), None
+            if n > few:
+                part = np.unique(kept[edges[t] : edges[t + 1]])
+            if part is not None and len(part) > few:
+                yield part, False
+                continue
+            whole = np.unique(top[bounds[t] : bounds[t + 1]])
+            yield (whole, True) if len(whole) <= few else (part, False)
 
 
-def to_string(values: np.ndarray, real: bool) -> str:
-    return ("" if real else "~") + base64.b64encode(values.astype(">u4").tobytes()).decode()
+def to_string(values: np.ndarray, whole: bool) -> str:
+    return ("=" if whole else "") + base64.b64encode(values.astype(">u4").tobytes()).decode().rstrip("=")
 
 
-def from_string(text: str) -> tuple[np.ndarray, bool]:
-    return np.frombuffer(base64.b64decode(text.lstrip("~")), dtype=">u4").astype(np.uint32), not text.startswith("~")
+def from_string(text: str) -> Sketch:
+    body = text.removeprefix("=")
+    return np.frombuffer(base64.b64decode(body + "=" * (-len(body) % 4)), dtype=">u4").astype(np.uint32), text.startswith("=")
 
 
-def merge(a: tuple[np.ndarray, bool], b: tuple[np.ndarray, bool]) -> tuple[np.ndarray, bool]:
+def _level(a: Sketch, b: Sketch, bits: int = FRACTION_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The values of both below the lower of their limits."""
+    if a[1] == b[1]:
+        return a[0], b[0]
+    return tuple(v[: np.searchsorted(v, 1 << (32 - bits))] if whole else v for v, whole in (a, b))
+
+
+def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of both texts' shingles together."""
-    if a[1] != b[1] and len(a[0]) and len(b[0]):
-        return a if a[1] else b
-    if not a[1] and not b[1]:
-        return np.minimum(a[0], b[0]), False
-    return (np.union1d(a[0], b[0]), True) if len(a[0]) and len(b[0]) else (a if len(a[0]) else b)
+    return np.union1d(*_level(a, b)), a[1] and b[1]
 
 
-def likeness(a: tuple[np.ndarray, bool], b: tuple[np.ndarray, bool]) -> float:
-    """Estimated Jaccard similarity."""
-    if not len(a[0]) and not len(b[0]):
-        return 1.0
-    if a[1] != b[1]:
-        return 0.0
-    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
-    return both / (len(a[0]) + len(b[0]) - both)
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard similarity; exact for two texts of few shingles."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0]))
+    x, y = _level(a, b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
 
-def containment(a: tuple[np.ndarray, bool], b: tuple[np.ndarray, bool]) -> float:
-    """Estimated share of a's shingles that b has too."""
+def containment(a: Sketch, b: Sketch) -> float:
+    """Estimated share of a's shingles that b has too; of a text that has none below the limit it says 0."""
     if not len(a[0]):
         return 1.0
-    if a[1] != b[1]:
-        return 0.0
-    return len(np.intersect1d(a[0], b[0], assume_unique=True)) / len(a[0])
+    x, y = _level(a, b)
+    return len(np.intersect1d(x, y, assume_unique=True)) / max(len(x), 1)
 
 
 def with_next(documents: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -95,17 +101,23 @@ def with_next(documents: DataFrame, ranges: int | None = None) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or 4 * parts
     docs = pick(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    cuts = sorted(int(c) for c in cuts)
+    rows = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("some")).first()
+    none = ranges * (rows.n - rows.some) // max(rows.n, 1)  # ranges of rows without doc_id, besides the first
+    some = max(ranges - none, 1)
+    cuts = docs.approxQuantile("doc_id", [k / some for k in range(1, some)], 0.25 / some) if some > 1 and rows.some else []
+    edges = np.sort(np.array(cuts, dtype=np.float64)).astype(np.int64)
     h = F.xxhash64("text")
-    if cuts:
-        edges = F.array(*[F.lit(c).cast("long") for c in cuts])
-        below, upto = F.size(F.filter(edges, lambda e: e < F.col("doc_id"))), F.size(F.filter(edges, lambda e: e <= F.col("doc_id")))
-        spread = F.floor((F.shiftright(h, 33).cast("double") / F.lit(2.0**31) + F.lit(0.5)) * (upto - below + 1)).cast("int")
-        bucket = F.when(F.col("doc_id").isNull(), 0).when(upto == below, below).otherwise(below + F.least(spread, upto - below))
-    else:
-        bucket = F.lit(0)
-    keyed = docs.select("doc_id", "text", h.alias("h"), bucket.alias("bucket"))
+
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        """The range of each row; one of several by the text's hash where a doc_id fills them."""
+        lost = ids.is_null().to_numpy(zero_copy_only=False)
+        key, part = ids.fill_null(0).to_numpy(), (hashes.to_numpy() >> 32) / 2.0**32 + 0.5
+        below, upto = np.searchsorted(edges, key, side="left") + none, np.searchsorted(edges, key, side="right") + none
+        below[lost], upto[lost] = 0, none
+        return pa.array((below + np.minimum((part * (upto - below + 1)).astype(np.int64), upto - below)).astype(np.int32))
+
+    bucket = F.arrow_udf(place, returnType="int")("doc_id", "h")
+    keyed = docs.select("doc_id", "text", h.alias("h")).select("doc_id", "text", "h", bucket.alias("bucket"))
     key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
     firsts = sorted(keyed.groupBy("bucket").agg(F.min(key).alias("k")).collect())  # one row per range
     if not firsts:

@@ -2,9 +2,10 @@
 
 A template is text with markup: `[[ ... ]]` is optional, `{{name:least-most}}` is replaceable by that many words,
 and `(a|b)` takes either word. Templates are compiled into token automata over word hashes; a text is accepted where
-all mandatory wording stands exactly, at any place in it. Beside them, plain phrases are counted wherever
-their words stand consecutively. The bytes of a text are scanned once; automata run only around places where two
-mandatory words that stand together in a template are found.
+all mandatory wording stands exactly, at any place in it; the templates are in data/licenses.txt. Beside them, plain
+phrases are counted wherever their words stand consecutively. The bytes of a text are scanned once; an automaton runs only
+around its anchor: the longest two mandatory words that stand together in its template (one, if none do; a template
+without a mandatory word is run from everywhere).
 
 Words: A-Z is lower-cased, and all ASCII characters but letters and digits separate words; other characters belong to them.
 Nulls: a null text is empty: no words, no labels, score 0; a null doc_id stays null. Repeated rows and ties are scanned each.
@@ -13,6 +14,7 @@ Empty tables give no rows; very long texts are scanned in pieces, whole. Extra c
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Mapping
 
@@ -24,23 +26,26 @@ from . import _text
 from ._run import as_batch, pick, table, tidied
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = {
-    "mit-notice": "[[(this|the) {{what:1-4}} is]] (released|licensed|distributed|available) under the [[terms of the]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this {{what:1-3}} and associated documentation files the {{name:1-3}} to deal in the {{what:1-3}} without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
-    "apache-2.0-notice": "(licensed|released|distributed) under the [[terms of the]] apache license version 2 [[0]]",
-    "apache-2.0-header": "you may not use this {{what:1-2}} except in compliance with the license you may obtain a copy of the license at",
-    "gpl-3.0-notice": "[[(this|the) {{what:1-4}} is (licensed|released|distributed) under]] the [[terms of the]] gnu general public license version 3",
-    "gpl-2.0-notice": "the gnu general public license [[as published by the free software foundation either]] version 2",
-    "cc-by-nc-4.0-notice": "(licensed|released|available) under [[the terms of]] [[a]] [[creative commons]] cc by nc 4 0",
-    "cc-by-4.0-notice": "(licensed|released|available) under [[the terms of]] [[a]] [[creative commons]] cc by 4 0",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and or distribute this {{what:1-3}} for any purpose with or without fee is hereby granted",
-}
 GAP = np.zeros(256, dtype=bool)
 GAP[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _MARK = re.compile(r"\[\[|\]\]|\{\{\w+:\d+-\d+\}\}|\([^)]*\)|[^\s\[\]{}()]+")
 
 
+def read_templates(path: str = os.path.join(os.path.dirname(__file__), "data", "licenses.txt")) -> dict[str, str]:
+    """Templates by label from a file in which a line of <label> begins each."""
+    out: dict[str, list[str]] = {}
+    with open(path) as f:
+        for line in f:
+            if line.startswith("<"):
+                rows = out.setdefault(line.strip()[1:-1], [])
+            elif not line.startswith("#"):
+                rows.append(line)
+    return {k: " ".join(v) for k, v in out.items()}
+
+
+TEMPLATES = read_templates()
+
+
 def hash_of(word: str) -> int:
     """The hash that a word of a text gets."""
     b = np.frombuffer(word.encode(), dtype=np.uint8)
@@ -75,9 +80,12 @@ class Automaton:
                 words.append(some[0] if len(some) == 1 else None)
                 depth.append(len(open_))
         self.end = len(self.steps)
-        #: The last two mandatory single words that stand together: where an automaton is worth running.
-        self.at = max(i for i in range(self.end - 1) if words[i] and words[i + 1] and not depth[i] and not depth[i + 1])
-        self.anchor = tuple(next(iter(self.steps[i])) for i in (self.at, self.at + 1))
+        sure = [w if w and not d else "" for w, d in zip(words, depth)]
+        pairs = [(len(sure[i]) + len(sure[i + 1]), i) for i in range(self.end - 1) if sure[i] and sure[i + 1]]
+        ones = [(len(w), i) for i, w in enumerate(sure) if w]
+        #: Where the anchor stands among the steps, and its words; none: the automaton runs from everywhere.
+        self.at, span = (max(pairs)[1], 2) if pairs else (max(ones)[1], 1) if ones else (0, 0)
+        self.anchor = tuple(next(iter(self.steps[i])) for i in range(self.at, self.at + span))
 
     def _closed(self, states: set[int]) -> set[int]:
         todo, out = list(states), set(states)
@@ -100,7 +108,9 @@ class Automaton:
         return best
 
     def find(self, h: np.ndarray, place: int) -> tuple[int, int]:
-        """(start, words) of the longest match that holds the anchor at `place`, or (0, 0)."""
+        """(start, words) of the longest match that holds the anchor at `place`, or (0, 0); of equally long ones the first."""
+        if not self.anchor:
+            return place, self.run(h[place : place + self.end + 1].tolist(), 0)
         lo, hi = max(0, place - self.at), min(len(h), place + self.end + 1)
         near = h[lo:hi].tolist()
         best = (0, 0)
@@ -159,9 +169,9 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, base: M
 
 def _places(h: np.ndarray, bounds: np.ndarray, phrase: list) -> list[tuple[int, int]]:
     """(place, text) of all places where the words stand consecutively in one text."""
-    if len(h) < len(phrase):
+    if len(h) < max(len(phrase), 1):
         return []
-    at = np.flatnonzero(h[: len(h) - len(phrase) + 1] == phrase[0])
+    at = np.flatnonzero(h[: len(h) - len(phrase) + 1] == phrase[0]) if phrase else np.arange(len(h))
     for k in range(1, len(phrase)):
         at = at[h[at + k] == phrase[k]]
     doc = np.searchsorted(bounds, at, side="right") - 1

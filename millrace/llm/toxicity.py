@@ -1,9 +1,10 @@
 """Operator 4: toxicity by a learned, weighted lexicon and Aho-Corasick matching.
 
 Texts are lower-cased, look-alike letters of other scripts and digits that stand for letters are folded, and all
-that isn't a letter becomes a gap. One pass of an Aho-Corasick automaton finds all lexicon entries, which are word
-beginnings; hits inside an exception phrase don't count. The summed weight, alone and normalised by length, goes
-through a logistic curve.
+that isn't a letter becomes a gap (a run of them is one). One pass of an Aho-Corasick automaton finds all lexicon entries, which are word
+beginnings; hits inside an exception phrase (whole words) don't count. The summed weight, alone and normalised by the
+number of words, goes through a logistic curve. Exception phrases are learned too: pairs of words with a lexicon hit that stand in
+several clean texts and in no toxic one; more can be given.
 
 Lexicon, weights and curve are learned from at most `sample` labelled rows, those first in a seeded hash order
 (a documented bound; every text is scored). Rows whose crc32(doc_id as text) mod 5 is 0 are never learned from.
@@ -19,9 +20,10 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._run import pick, small_batches, table, tidied
+from ._text import mix
 
 SAMPLE, FOLDS = 8000, 5
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser bracket")
 LIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ո": "n", "ɡ": "g",
     "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ӏ": "l",
@@ -59,8 +61,12 @@ _fold = _Fold()
 
 
 def fold(text: str | None) -> str:
-    """Folded words, each with one gap before it; a word of digits alone folds too, which no entry matches."""
-    return " " + (text or "").translate(_fold)
+    """Folded words with one gap before each and one at the end; a word of digits alone folds too, which no entry matches."""
+    return " ".join(["", *(text or "").translate(_fold).split(), ""]) if text else " "
+
+
+def n_words(folded: str) -> int:
+    return max(folded.count(" ") - 1, 0)
 
 
 @dataclass
@@ -79,7 +85,7 @@ class Model:
         for w, x in self.weights.items():
             auto.add_word(" " + w, (len(w) + 1, x))
         for e in self.exceptions:
-            auto.add_word(" " + e, (len(e) + 1, None))
+            auto.add_word(" " + e + " ", (len(e) + 2, None))
         if not len(auto):
             return lambda text: (0, 0.0)
         auto.make_automaton()
@@ -87,14 +93,16 @@ class Model:
         def match(text: str) -> tuple[int, float]:
             hits, spared = {}, []
             for end, (n, x) in auto.iter(text):
+                begin = end - n + 1
                 if x is None:
-                    spared.append((end - n + 1, end))
+                    spared.append((begin, end))
                 else:
-                    begin = end - n + 1
                     hits[begin] = max(hits.get(begin, 0.0), x)
-            if spared:
-                hits = {b: x for b, x in hits.items() if not any(lo <= b <= hi for lo, hi in spared)}
-            return len(hits), sum(hits.values())
+            if spared and hits:  # a phrase's last gap is the first of what follows, and doesn't spare it
+                spared.sort()
+                lows, reach = [lo for lo, _ in spared], list(accumulate((hi for _, hi in spared), max))
+                hits = {b: x for b, x in hits.items() if not ((k := bisect_right(lows, b)) and b < reach[k - 1])}
+            return len(hits), sum(hits[b] for b in sorted(hits))
 
         return match
 
@@ -104,34 +112,60 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def learn_lexicon(toxic: Sequence[str], clean: Sequence[str], least: int = 3, lift: float = 6.0, surprise: float = 30.0, shortest: int = 3, longest: int = 9) -> dict[str, float]:
+class Words:
+    """Texts as numbers of words: vocabulary, places of all words (text, number), texts parted by a number of their own."""
+
+    def __init__(self, texts: Sequence[str]):
+        known: dict[str, int] = {"": 0}
+        parts = [np.array([0, *(known.setdefault(w, len(known)) for w in t.split()), 0], dtype=np.int64) for t in texts]
+        self.names, self.ids = list(known), np.concatenate([np.zeros(1, np.int64), *parts])
+        self.text = np.concatenate([np.zeros(1, np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])])
+
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """For either half (by a checksum of the neighbours) and each word: in how many different pairs of neighbours it stands in the texts `which`."""
+        size, at = len(self.names), np.flatnonzero((self.ids > 0) & which[self.text])
+        key = np.unique((self.ids[at - 1] * size + self.ids[at]) * size + self.ids[at + 1])
+        side = mix((key // size // size * size + key % size).astype(np.uint64)) >> np.uint64(63)
+        return np.stack([np.bincount((key // size % size)[side == s], minlength=size) for s in (0, 1)])
+
+
+def learn_lexicon(words: Words, toxic: np.ndarray, least: int = 3, lift: float = 6.0, surprise: float = 30.0, shortest: int = 3, longest: int = 9) -> dict[str, float]:
     """Word beginnings that are far more frequent in toxic texts, with log-lift weights.
 
-    toxic, clean: distinct folded texts. Of beginnings that contain each other, the one whose counts are the most
-    surprising (by the log-likelihood ratio) stands; ties go to the longer. It must stand in `least` toxic texts (1% of them, if that is more),
-    and be `lift` times as frequent there as in clean ones.
+    words: of distinct folded texts; toxic: of each text. A word counts once for each pair of neighbours, so that copies of a passage
+    don't add up. Of beginnings that contain each other, the one whose counts are the most surprising (by the log-likelihood
+    ratio) stands; ties go to the longer. It must have `least` contexts in toxic texts (1% of their number, if that is more) and
+    be `lift` times as frequent there as in clean ones; and it must hold where it wasn't found: contexts fall into
+    two halves, and in either alone it must be in a toxic text and lifted half as much (in logs).
     """
-
-    def starts(text: str) -> Counter:
-        return Counter(w[:k] for w in text.split() for k in range(shortest, min(longest, len(w)) + 1))
-
-    bad, texts, good = Counter(), Counter(), Counter()
-    for t in toxic:
-        c = starts(t)
-        bad.update(c)
-        texts.update(c.keys())
-    least = max(least, len(toxic) // 100)
-    bad = Counter({p: n for p, n in bad.items() if texts[p] >= least})
-    for t in clean:
-        good.update(p for w in t.split() for k in range(shortest, min(longest, len(w)) + 1) if (p := w[:k]) in bad)
-    n_bad, n_good = (1 + sum(t.count(" ") for t in ts) for ts in (toxic, clean))
-    share = n_bad / (n_bad + n_good)
+    bad, good = words.contexts(toxic), words.contexts(~toxic)
+    total = np.array([bad.sum(axis=1), good.sum(axis=1)]) + 1.0
+    counts: dict[str, list[int]] = {}
+    for k in np.flatnonzero(bad.sum(axis=0)):
+        w = words.names[k]
+        for n in range(shortest, min(longest, len(w)) + 1):
+            c = counts.setdefault(w[:n], [0, 0, 0, 0])
+            c[0] += int(bad[0, k])
+            c[1] += int(bad[1, k])
+    least = max(least, int(toxic.sum()) // 100)
+    counts = {p: c for p, c in counts.items() if c[0] + c[1] >= least and c[0] and c[1]}
+    for k in np.flatnonzero(good.sum(axis=0)):
+        w = words.names[k]
+        for n in range(shortest, min(longest, len(w)) + 1):
+            if c := counts.get(w[:n]):
+                c[2] += int(good[0, k])
+                c[3] += int(good[1, k])
+
+    def log_lift(n: int, m: int, of: np.ndarray) -> float:
+        return math.log((n + 0.5) / of[0] * of[1] / (m + 0.5))
+
+    share = total[0].sum() / total.sum()
     found = []
-    for p, n in bad.items():
-        m = good[p]
-        weight = math.log((n + 0.5) / n_bad * n_good / (m + 0.5))
+    for p, c in counts.items():
+        n, m = c[0] + c[1], c[2] + c[3]
+        weight = log_lift(n, m, total.sum(axis=1))
         g = 2 * (n * math.log(n / ((n + m) * share)) + (m * math.log(m / ((n + m) * (1 - share))) if m else 0.0))
-        if weight >= math.log(lift) and g >= surprise:
+        if weight >= math.log(lift) and g >= surprise and all(log_lift(c[s], c[2 + s], total[:, s]) >= math.log(lift) / 2 for s in (0, 1)):
             found.append((g, len(p), p, weight))
     chosen: dict[str, float] = {}
     above: set[str] = set()
@@ -142,6 +176,19 @@ def learn_lexicon(toxic: Sequence[str], clean: Sequence[str], least: int = 3, li
     return chosen
 
 
+def learn_exceptions(words: Words, toxic: np.ndarray, lexicon: dict[str, float], least: int = 3) -> list[str]:
+    """Pairs of neighbouring words, one or both with a lexicon hit, that stand in `least` distinct clean texts and in no toxic one."""
+    sizes, size = sorted({len(p) for p in lexicon}), len(words.names)
+    hit = np.array([any(w[:k] in lexicon for k in sizes) for w in words.names])
+    a, b = words.ids[:-1], words.ids[1:]
+    at = np.flatnonzero((a > 0) & (b > 0) & (hit[a] | hit[b]))
+    pair, bad = a[at] * size + b[at], toxic[words.text[at]]
+    each = np.unique(np.stack([pair[~bad], words.text[at][~bad]]), axis=1)[0]
+    found, n = np.unique(each, return_counts=True)
+    found = np.setdiff1d(found[n >= least], pair[bad])
+    return sorted(f"{words.names[p // size]} {words.names[p % size]}" for p in found.tolist())
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[float, float, float]:
     """Logistic regression by Newton steps; x has a column of ones first."""
     w = np.zeros(x.shape[1])
@@ -156,16 +203,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 6
     return tuple(float(v) for v in w)
 
 
-def train(texts: Sequence[str | None], labels: Sequence[int], exceptions: Sequence[str] = EXCEPTIONS) -> Model:
-    """A model from labelled texts."""
+def train(texts: Sequence[str | None], labels: Sequence[int], exceptions: Sequence[str] = ()) -> Model:
+    """A model from labelled texts; exceptions: phrases besides those that are learned."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Model()
     folded = [fold(t) for t in texts]
-    kinds = [list(dict.fromkeys(t for t, k in zip(folded, labels) if k == kind)) for kind in (1, 0)]
-    model = Model(learn_lexicon(*kinds), tuple(fold(e).strip() for e in exceptions))
+    kinds = dict(zip(folded, labels)) | {t: 1 for t, k in zip(folded, labels) if k == 1}
+    words_of, toxic = Words(list(kinds)), np.array(list(kinds.values())) == 1
+    lexicon = learn_lexicon(words_of, toxic)
+    model = Model(lexicon, tuple(dict.fromkeys([*(fold(e).strip() for e in exceptions), *learn_exceptions(words_of, toxic, lexicon)])))
     match = model.matcher()
-    weight, words = np.array([match(t)[1] for t in folded]), np.array([len(t.split()) for t in folded])
+    weight, words = np.array([match(t)[1] for t in folded]), np.array([n_words(t) for t in folded])
     model.curve = fit_curve(np.stack([np.ones(len(y)), np.log1p(weight), np.log1p(100 * weight / (words + 20.0))], axis=1), y)
     return model
 
@@ -200,7 +249,7 @@ def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",),
                 h, w = match(f)
                 hits.append(h)
                 weight.append(w)
-                words.append(f.count(" "))
+                words.append(n_words(f))
             s = model.score(np.array(weight, dtype=float), np.array(words, dtype=float))
             names = [n for n in b.schema.names if n in keep]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(s), pa.array(hits, pa.int32()), pa.array(weight, pa.float64()), pa.array(words, pa.int32())], names=[*names, *extra])
