@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+LIKE_S3 = {"s3a": "s3", "s3n": "s3"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset and all runs on this machine, one of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -24,6 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+def file_system(path: str):
+    """(file system, path in it) of a URI or a plain path, for Python tasks; s3a and s3n are s3 there."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{LIKE_S3.get(scheme, scheme)}://{rest}")
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

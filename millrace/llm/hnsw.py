@@ -5,18 +5,22 @@ neither fill links or beams nor hide ties, which go to the smallest ids of all c
 hash of the vector. Each shard's hierarchical graph is built in batches by vectorised
 beam search and kept as flat neighbour arrays; every query searches every shard, the best of each shard are scored
 again in double precision on the original vectors, and shard results are merged. For inner products, vectors
-get one more component that brings all to one length, so that the graph lives in a metric space.
+get one more component that brings all to one length, so that the graph lives in a metric space; before that they
+are scaled by a power of two, so that neither tiny nor huge vectors lose their lengths.
 
-The number of shards follows the cluster, not the input, up to `SHARD_ROWS` rows a shard; beyond that it grows with the
-input, so that a shard's graph stays within a task's memory. All vectors are indexed. Queries pass through a shard in blocks.
+How many shards there are follows from the vectors alone, never from the cluster: at most `SHARD_ROWS` rows and `SHARD_BYTES`
+bytes each, so that recall at `EF_SEARCH` is the same at any size. All vectors are indexed. Queries are written
+once to the shared folder, and each shard's task streams them from there in blocks; they aren't multiplied by a shuffle.
 
-Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id or
-of another width than most. Repeated ids are candidates each (but not for a query of the same id); a repeated query with its vector asks once; ties go to the smaller vec_id.
+Nulls: vectors that are null, zero, or hold null or non-finite components take no part, nor do those without an id.
+Vectors of several widths have no product with each other: a query's candidates are those of its own width.
+Repeated ids are candidates each (but not for a query of the same id); a repeated query with its vector asks once; ties go to the smaller vec_id.
 Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._run import as_batch, pick, stash, table
+from ._run import as_batch, file_system, pick, stash, table, tidied, work_dir
 
-K, EVERY, M, EF_BUILD, EF_SEARCH, SHARD_ROWS = 20, 20, 16, 48, 64, 250_000
+K, EVERY, M, EF_BUILD, EF_SEARCH, SHARD_ROWS, SHARD_BYTES, LEAST_ROWS, SPREAD = 20, 20, 24, 64, 200, 8192, 128 << 20, 1024, 8
 
 
 class Graph:
@@ -65,7 +69,7 @@ class Graph:
         k = start.shape[1]
         ids[:, :k], sims[:, :k], todo[:, :k] = start, np.einsum("nd,nkd->nk", q, vectors[start]), True
         seen[rows, start] = True
-        step = 4 if ef >= 16 else 1
+        step = max(4, ef // 8) if ef >= 16 else 1
         while True:
             score = np.where(todo, sims, -np.inf)
             active = np.flatnonzero(score.max(axis=1) > -np.inf)
@@ -192,10 +196,13 @@ class Graph:
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v: array<double>) of the rows that take part."""
     rows = pick(vectors, id_col, vector).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(sound)
-    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    return rows.where(F.size("v") == (widths[0].w if widths else 0))
+    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
+def shards_for(n: int, width: int) -> int:
+    """Shards for n distinct vectors of a width: small enough for recall and memory, and some for parallel work on small tables."""
+    rows = max(1, min(SHARD_ROWS, SHARD_BYTES // (12 * width + 8 * M + 64)))
+    return max(-(-n // rows), min(SPREAD, -(-n // LEAST_ROWS)))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -214,29 +221,34 @@ def distinct(rows: DataFrame, k: int = K) -> DataFrame:
     return first.groupBy("h", "v").agg(ids.alias("ids")).select("v", F.flatten(F.transform("ids", lambda x: F.array_repeat(x["vec_id"], x["c"]))).alias("ids"))
 
 
-def build(nodes: DataFrame, shards: int, top: float) -> DataFrame:
-    """One row per shard that has nodes (v, ids): shard, ids of all nodes, where each node's end, vectors (doubles) and graph, as binaries."""
-    schema = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())])
+def build(nodes: DataFrame, plan: DataFrame, shards: int) -> DataFrame:
+    """One row per shard that has nodes (v, ids): shard, width, ids of all nodes, where each node's end, vectors (doubles) and graph, as binaries.
+
+    plan: per width w its first shard, how many it has, and the power of two that scales its vectors to length 1 at most.
+    """
+    schema = pa.schema([("shard", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            s, v = b.column(0).to_numpy(), _matrix(b.column(2))
+            s, scale = b.column(0).to_numpy(), b.column(1).to_numpy()
             for shard in np.unique(s):
-                held.setdefault(int(shard), []).append((b.column(1).filter(pa.array(s == shard)), v[s == shard]))
-        for shard, parts in held.items():
+                part = b.filter(pa.array(s == shard))
+                held.setdefault(int(shard), []).append((part.column(2), _matrix(part.column(3)), int(scale[s == shard][0])))
+        for shard in sorted(held):
+            parts = held.pop(shard)
             ids, v = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             flat, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy()).astype(np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             by = np.lexsort((*v.T[::-1][:1], flat[starts]))
             v, sizes = v[by], (ends - starts)[by]
             flat, ends = flat[_spans(starts[by], sizes)], np.cumsum(sizes)
-            extra = np.sqrt(np.maximum(top * top - (v * v).sum(axis=1), 0))
-            x = (np.concatenate([v, extra[:, None]], axis=1) / top).astype(np.float32)
-            yield as_batch(schema, shard=[shard], ids=[flat.tobytes()], ends=[ends.tobytes()], vectors=[v.tobytes()], graph=[Graph(x).to_bytes()])
+            x = np.ldexp(v, parts[0][2])
+            x = np.concatenate([x, np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
+            yield as_batch(schema, shard=[shard], width=[v.shape[1]], ids=[flat.tobytes()], ends=[ends.tobytes()], vectors=[v.tobytes()], graph=[Graph(x).to_bytes()])
 
-    dealt = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "ids", "v")
-    return dealt.repartition(shards, "shard").mapInArrow(run, "shard int, ids binary, ends binary, vectors binary, graph binary")
+    dealt = nodes.join(plan, F.size("v") == plan["w"]).select((F.col("first") + F.pmod(F.xxhash64("v"), F.col("shards"))).cast("int").alias("shard"), "scale", "ids", "v")
+    return dealt.repartitionById(shards, "shard").mapInArrow(tidied(run), "shard int, width int, ids binary, ends binary, vectors binary, graph binary")
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -245,32 +257,33 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def search(index: DataFrame, queries: DataFrame, shards: int, k: int = K, ef: int = EF_SEARCH) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each query (query_id, v) by inner product."""
+    """query_id, rank, vec_id and score of the k nearest found of each query (query_id, v) by inner product.
+
+    Queries are written to the shared folder by width; the task of a shard reads those of its width, block by block.
+    """
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    path = work_dir(queries.sparkSession, "queries")
+    queries.withColumn("w", F.size("v")).write.partitionBy("w").parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[int, tuple] = {}
         for b in batches:
-            shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for r in np.flatnonzero(kind == 0):
-                ids, ends = (np.frombuffer(b.column(c)[r].as_py(), np.int64) for c in (4, 5))
-                loaded.clear()  # rows are sorted by shard: one graph at a time
-                loaded[int(shard[r])] = (ids, ends, np.frombuffer(b.column(6)[r].as_py()).reshape(len(ends), -1), Graph.from_bytes(b.column(7)[r].as_py()))
-                yield from answer(b, (kind == 1) & (shard == shard[r]), loaded[int(shard[r])])
-            for s in np.unique(shard[kind == 1]):
-                if not ((kind == 0) & (shard == s)).any() and int(s) in loaded:
-                    yield from answer(b, (kind == 1) & (shard == s), loaded[int(s)])
-
-    def answer(b: pa.RecordBatch, which: np.ndarray, held: tuple) -> Iterator[pa.RecordBatch]:
+            for r in range(b.num_rows):
+                width = b.column(1)[r].as_py()
+                ids, ends = (np.frombuffer(b.column(c)[r].as_buffer(), np.int64) for c in (2, 3))
+                held = ids, ends, np.frombuffer(b.column(4)[r].as_buffer()).reshape(len(ends), -1), Graph.from_bytes(b.column(5)[r].as_py())
+                for part in _stream(f"{path}/w={width}"):
+                    yield from answer(part, held)
+
+    def answer(part: pa.RecordBatch, held: tuple) -> Iterator[pa.RecordBatch]:
         ids, ends, vectors, graph = held
-        part = b.filter(pa.array(which))
         block = max(16, min(512, 64_000_000 // (len(ends) + 1)))
         for lo in range(0, part.num_rows, block):
-            qid, q = part.column(2).slice(lo, block).to_numpy(), _matrix(part.column(3).slice(lo, block))
-            q32 = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-            q32 = (q32 / np.linalg.norm(q32, axis=1, keepdims=True)).astype(np.float32)
-            found = graph.search(q32, 2 * k + 1, ef)
-            score = np.einsum("nd,nkd->nk", q, vectors[np.maximum(found, 0)])
+            qid, q = part.column(0).slice(lo, block).to_numpy(), _matrix(part.column(1).slice(lo, block))
+            unit = q / np.abs(q).max(axis=1, keepdims=True)
+            unit = np.concatenate([unit / np.linalg.norm(unit, axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
+            found = graph.search(unit.astype(np.float32), 2 * k + 1, ef)
+            with np.errstate(all="ignore"):
+                score = np.einsum("nd,nkd->nk", q, vectors[np.maximum(found, 0)])
             row, col = np.nonzero(found >= 0)
             node = found[row, col]
             starts = np.where(node > 0, ends[node - 1], 0)
@@ -283,26 +296,40 @@ def search(index: DataFrame, queries: DataFrame, shards: int, k: int = K, ef: in
             ok = np.arange(len(row)) - np.searchsorted(row, row) < k
             yield as_batch(schema, query_id=qid[row[ok]], vec_id=near[ok], score=score[ok])
 
-    none = F.lit(None)
-    parts = index.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("query_id"), none.cast("array<double>").alias("v"), "ids", "ends", "vectors", "graph")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "query_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("ends"), none.cast("binary").alias("vectors"), none.cast("binary").alias("graph"))
-    rows = parts.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = index.repartitionById(shards, "shard").mapInArrow(tidied(run), "query_id long, vec_id long, score double")
+    by = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _stream(folder: str) -> Iterator[pa.RecordBatch]:
+    """(query_id, v) of the files of a folder, a block at a time; none if there is no such folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = file_system(folder)
+    for info in sorted(system.get_file_info(fs.FileSelector(at, allow_not_found=True)), key=lambda i: i.path):
+        if info.type == fs.FileType.File and info.base_name.startswith("part-"):
+            with system.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(4096, columns=["query_id", "v"])
+
+
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """The k nearest others of each vector whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     nodes = stash(distinct(rows, k), "vectors")
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
-    if not facts.n:
+    top = F.max(F.array_max(F.transform("v", F.abs)))
+    longest = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    plan, first = [], 0
+    for r in nodes.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), top.alias("top"), longest.alias("longest")).orderBy("w").collect():  # one row per width
+        n = shards_for(r.n, r.w)
+        size = r.longest if 1e-150 < r.longest < 1e150 else r.top * r.w**0.5  # squares beyond these ends lose digits
+        plan.append((r.w, first, n, -math.frexp(min(size, 1e308))[1]))
+        first += n
+    if not plan:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = max(8, spark.sparkContext.defaultParallelism, -(-facts.n // SHARD_ROWS))
-    index = stash(build(nodes, shards, float(facts.top)), "index")
-    return search(index, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct(), shards, k)
+    index = stash(build(nodes, spark.createDataFrame(plan, "w int, first int, shards int, scale int"), first), "index")
+    return search(index, rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct(), first, k)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

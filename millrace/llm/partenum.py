@@ -2,9 +2,13 @@
 
 Sets of word shingles fall into size bands; in a band, sets that are similar enough differ in at most k elements.
 The feature domain is split into n1 first-level partitions of n2 parts each; of the n1 partitions one has at most
-k2 = k // n1 differing elements, so two similar sets agree on all but k2 of its n2 parts, and share the signature
-that stands for that subset of parts. With k2 = 0 (the choice for n1 > k) a signature is one whole partition, and
-similar sets agree on at least n1 - distance of them: that count is an exact filter before any set is compared.
+k2 differing elements, so two similar sets agree on all but k2 of its n2 parts, and share the signature
+that stands for that subset of parts. Every band enumerates subsets (k2 > 0 wherever k > 0); which n1, n2 and k2 is a matter of
+cost (`design`). How many signatures two sets at a distance must share is known (`shared`), and an exact filter before any set is compared.
+
+A signature of more than `BLOCK` classes is hot. A class whose hot signatures are fewer than it must share with any
+similar set is found by its other ones and leaves the hot groups; for what stays there, blocks of a group meet pair by pair,
+each pair of blocks in a task of its own.
 
 Equal sets are one class from the start (partial aggregation by set key), so copies are never paired, and each
 task emits the signatures of a class once. Only classes that share enough signatures have their sets compared.
@@ -17,8 +21,10 @@ scanned in pieces, whole. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +36,7 @@ from . import _text
 from ._run import as_batch, pick, small_batches, stash, table, tidied
 
 WIDTH, PERCENT = 5, 90
-BAND_GROWTH, BLOCK, SEEN, MOST_SKIPPED = 1.5, 256, 1 << 18, 8
+BAND_GROWTH, BLOCK, SEEN, MOST_SKIPPED, SLACK = 1.5, 256, 1 << 18, 8, 1.15
 _U = np.uint64
 
 
@@ -50,29 +56,56 @@ def max_distance(total: int | np.ndarray, percent: int = PERCENT) -> int | np.nd
     return total * (100 - percent) // (100 + percent)
 
 
-def design(k: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for distance k.
+def design(k: int, least: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) for distance k and sets of at least `least` elements: the fewest signatures that hold 3 elements each.
 
-    Small distances enumerate: one first-level partition, of whose k + 3 parts all subsets of 3 are signatures.
-    Larger ones have k2 = 0, with some more partitions than k + 1, so that sparse ones need no signature (see `signatures`).
+    Where none holds as many (small sets), the one that holds the most. From k = 8 on there are some more partitions than k needs,
+    so that sparse signatures can be left out (see `signatures`) and the count filter is sharp.
     """
     if k == 0:
         return 1, 1, 0
-    if k <= 2:
-        return 1, k + 3, k
-    return -(-115 * (k + 1) // 100), 1, 0
+    found = []
+    for k2 in range(1, min(k, 4) + 1):
+        n1 = -(-(k + 1) // (k2 + 1)) if k < 8 else math.ceil(SLACK * (k + 1) / (k2 + 1))
+        for n2 in range(k2 + 2, k2 + 5):
+            held = least * (n2 - k2) / (n1 * n2)
+            found.append((min(held, 3.0), -n1 * math.comb(n2, k2), held, (n1, n2, k2)))
+    return max(found)[3]
+
+
+DESIGNS = [design(int(max_distance(2 * (int(BANDS[q + 1]) - 1))), int(BANDS[q])) for q in range(len(BANDS) - 1)]
+
+
+def shared(d: int, n1: int, n2: int, k2: int) -> int:
+    """The fewest signatures that two sets at distance d share: differences do most harm if all partitions have as many."""
+    q, r = divmod(d, n1)
+    left = [math.comb(max(n2 - x, 0), n2 - k2) for x in (q, q + 1)]
+    return (n1 - r) * left[0] + r * left[1]
+
+
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, band: int) -> int:
+    """The fewest that a set of n elements and any similar one share in a band, sparse ones left out."""
+    return -(-shared(int(max_distance(n + n * 100 // PERCENT)), *DESIGNS[band]) // 2)
 
 
-DESIGNS = [design(int(max_distance(2 * (int(BANDS[q + 1]) - 1)))) for q in range(len(BANDS) - 1)]
+def bands_of(n: int) -> list[int]:
+    """The bands in which a set of n elements has signatures: its own, and the next if a similar set may be there."""
+    q = int(np.searchsorted(BANDS, n, side="right")) - 1
+    return [q, q + 1] if 100 * n >= PERCENT * int(BANDS[q + 1]) else [q]
+
+
+@lru_cache(maxsize=256)
+def _subsets(n2: int, k2: int) -> np.ndarray:
+    return np.array(list(combinations(range(n2), n2 - k2)))
 
 
 def signatures(s: np.ndarray, band: int) -> np.ndarray:
     """PartEnum signatures of a set of hashes in one band.
 
-    Where a signature is one partition, partitions of few elements, on which sets agree that share a passage or
-    nothing, give none: all below the largest size for which they are at most half of the partitions on which similar
-    sets must agree. The other half is left to find them by: a partition on which two sets agree is as large in
-    both, and of two such bounds the higher leaves half of what the sets agree on.
+    Signatures of few elements, on which sets agree that share a passage or nothing, are left out: all below the
+    largest size for which they are at most half of the signatures that similar sets must share. The other half is left to find
+    them by: a signature that two sets share is of as many elements in both, and of two such bounds the higher leaves half of what they share.
     """
     n1, n2, k2 = DESIGNS[band]
     slots = n1 * n2
@@ -81,14 +114,13 @@ def signatures(s: np.ndarray, band: int) -> np.ndarray:
     acc = np.zeros(slots, dtype=_U)
     place = (s % _U(slots)).astype(np.int64)
     np.add.at(acc, place, _text.mix(s ^ _U(0x5851F42D4C957F2D)))
-    acc = _text.mix(acc + np.arange(slots, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(band * 7919 + 1))
-    if n2 == 1:
-        held = np.bincount(place, minlength=slots)
-        below = np.cumsum(np.bincount(np.minimum(held, MOST_SKIPPED), minlength=MOST_SKIPPED + 1))[:MOST_SKIPPED]
-        least = int((2 * below <= n1 - max_distance(len(s) + len(s) * 100 // PERCENT)).sum())
-        return acc[held >= least]
-    acc = acc.reshape(n1, n2)
-    return np.concatenate([_text.mix(acc[:, list(c)].sum(axis=1, dtype=_U) + _U(97 * k + 13)) for k, c in enumerate(combinations(range(n2), n2 - k2))])
+    acc = _text.mix(acc + np.arange(slots, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(band * 7919 + 1)).reshape(n1, n2)
+    held, subsets = np.bincount(place, minlength=slots).reshape(n1, n2), _subsets(n2, k2)
+    out = _text.mix(acc[:, subsets].sum(axis=2, dtype=_U) + np.arange(len(subsets), dtype=_U) * _U(97) + _U(13)).ravel()
+    size = held[:, subsets].sum(axis=2).ravel()
+    below = np.cumsum(np.bincount(np.minimum(size, MOST_SKIPPED), minlength=MOST_SKIPPED + 1))[:MOST_SKIPPED]
+    least = int((2 * below <= shared(int(max_distance(len(s) + len(s) * 100 // PERCENT)), n1, n2, k2)).sum())
+    return out[size >= least]
 
 
 def sets_of(batch: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -126,76 +158,156 @@ def _profile(width: int):
                     seen[k] = None
                     if len(seen) > SEEN:
                         seen.popitem(last=False)
-                    q = int(np.searchsorted(BANDS, len(s), side="right")) - 1
-                    out = [signatures(s, q)]
-                    if 100 * len(s) >= PERCENT * int(BANDS[q + 1]):
-                        out.append(signatures(s, q + 1))
-                    sigs.append(np.concatenate(out).view(np.int64))
+                    sigs.append(np.concatenate([signatures(s, q) for q in bands_of(len(s))]).view(np.int64))
                 yield as_batch(schema, doc_id=part.column(0), n=n, key=key, sigs=pa.array(sigs, type=pa.list_(pa.int64())))
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (sig, key, n) in order: blocks of the members of each signature that several classes share.
+def _groups(block: int, all_of: bool = False):
+    """From (sig, key, n) in order: the members of each signature that several classes share, at most `block` in a row.
 
-    A signature of very many classes gives one row per pair of blocks, so that no task pairs all of them.
+    sig and part (which block of it) are given of hot signatures only, unless all_of. No more than a block is held.
     """
-    schema = pa.schema([(c, pa.list_(pa.int64())) for c in ("a", "na", "b", "nb")])
-
-    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-        got = []
-        for x in range(len(parts)):
-            for y in range(x, len(parts)):
-                got.append((*parts[x], *parts[y]))
-        return got
-
-    def rows(key: np.ndarray, n: np.ndarray) -> list[tuple]:
-        return out([(key[i : i + BLOCK], n[i : i + BLOCK]) for i in range(0, len(key), BLOCK)])
-
-    def batch(rs: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rs], type=pa.list_(pa.int64())) for k in range(4)], schema=schema)
-
-    keep: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-    for b in batches:
-        sig, key, n = (np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(keep, b.columns))
-        new = np.ones(len(sig), dtype=bool)  # tasks that saw copies of a class gave its signatures each
-        new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
-        sig, key, n = sig[new], key[new], n[new]
-        ends = np.flatnonzero(sig[1:] != sig[:-1]) + 1
-        edges = np.concatenate([[0], ends])
-        many = np.flatnonzero(np.diff(edges) > 1)
-        found = [r for g in many for r in rows(key[edges[g] : edges[g + 1]], n[edges[g] : edges[g + 1]])]
-        keep = [x[edges[-1] :] for x in (sig, key, n)]
-        for lo in range(0, len(found), 1000):
-            yield batch(found[lo : lo + 1000])
-    if len(keep[0]) > 1:
-        found = rows(keep[1], keep[2])
-        for lo in range(0, len(found), 1000):
-            yield batch(found[lo : lo + 1000])
+    schema = pa.schema([("sig", pa.int64()), ("part", pa.int32()), ("key", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        now, part, held, size, last = None, 0, [], 0, None
 
+        def block_of(most: int) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held, size
+            key, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held, size = [(key[most:], n[most:])], max(size - most, 0)
+            return key[:most], n[:most]
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From pairs of blocks: pairs of classes whose sizes allow the similarity, in one order."""
-    schema = pa.schema([(c, pa.int64()) for c in ("a", "na", "b", "nb")])
-    for batch in batches:
-        for a, na, b, nb in zip(*(c.to_pylist() for c in batch.columns)):
-            a, na, b, nb = (np.array(x, dtype=np.int64) for x in (a, na, b, nb))
-            i, j = np.triu_indices(len(a), 1) if np.array_equal(a, b) else (x.ravel() for x in np.indices((len(a), len(b))))
-            x, nx, y, ny = a[i], na[i], b[j], nb[j]
-            fit = (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & ((x != y) | (nx != ny))
-            x, nx, y, ny = x[fit], nx[fit], y[fit], ny[fit]
-            swap = (x > y) | ((x == y) & (nx > ny))
-            yield as_batch(schema, a=np.where(swap, y, x), na=np.where(swap, ny, nx), b=np.where(swap, x, y), nb=np.where(swap, nx, ny))
+        def close() -> None:
+            if now is not None and size and (part or size > 1):
+                rows.append((now, part, *block_of(block)) if part or all_of else (None, 0, *block_of(block)))
 
+        def made() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=schema.types[k]) for k in range(4)], schema=schema)
+            rows.clear()
+            return got
 
-def _needed(na: str, nb: str):
-    """How many signatures a pair must share: half of n1 - distance where signatures are whole partitions, else 1."""
-    lows = F.array(*[F.lit(int(x)) for x in BANDS[:60]])
-    top = F.greatest(na, nb)
-    band = F.size(F.filter(lows, lambda x: x <= top)) - 1
-    n1 = F.element_at(F.array(*[F.lit(d[0] if d[2] == 0 and d[1] == 1 else 0) for d in DESIGNS[:60]]), band + 1)
-    return F.greatest(F.lit(1), F.ceil((n1 - F.floor((F.col(na) + F.col(nb)) * (100 - PERCENT) / (100 + PERCENT))) / 2))
+        for b in batches:
+            sig, key, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), dtype=bool)  # tasks that saw copies of a class gave its signatures each
+            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
+            new[0] = (sig[0], key[0], n[0]) != last
+            last = (sig[-1], key[-1], n[-1])
+            sig, key, n = sig[new], key[new], n[new]
+            if not len(sig):
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
+            some = np.diff(edges) > 1
+            some[[0, -1]] = True
+            for g in np.flatnonzero(some):
+                lo, hi = edges[g], edges[g + 1]
+                if now is None or sig[lo] != now:
+                    close()
+                    now, part, held, size = sig[lo], 0, [], 0
+                held.append((key[lo:hi], n[lo:hi]))
+                size += int(hi - lo)
+                while size > block:
+                    rows.append((now, part, *block_of(block)))
+                    part += 1
+                if len(rows) >= 1000:
+                    yield made()
+        close()
+        if rows:
+            yield made()
+
+    return run
+
+
+_PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "na", "b", "nb")])
+
+
+def _cross(a: np.ndarray, na: np.ndarray, b: np.ndarray | None = None, nb: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pairs of classes of one block, or of two, whose sizes allow the similarity, in one order."""
+    if b is None:
+        (i, j), b, nb = np.triu_indices(len(a), 1), a, na
+    else:
+        i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+    x, nx, y, ny = a[i], na[i], b[j], nb[j]
+    fit = (100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & ((x != y) | (nx != ny))
+    x, nx, y, ny = x[fit], nx[fit], y[fit], ny[fit]
+    swap = (x > y) | ((x == y) & (nx > ny))
+    return as_batch(_PAIRS, a=np.where(swap, y, x), na=np.where(swap, ny, nx), b=np.where(swap, x, y), nb=np.where(swap, nx, ny))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From blocks (key, n): the pairs in each."""
+    for batch in batches:
+        waiting, size = [], 0
+        for key, n in zip(*batch.columns):
+            waiting.append(_cross(key.values.to_numpy(), n.values.to_numpy()))
+            size += waiting[-1].num_rows
+            if size > 50_000:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, size = [], 0
+        if size:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (sig, lo, hi, key, n) in order, two blocks of each (sig, lo, hi), or one where lo is hi: the pairs of them."""
+    first = None
+    for batch in batches:
+        for sig, lo, hi, key, n in zip(*batch.columns):
+            at, block = (sig.as_py(), lo.as_py(), hi.as_py()), (key.values.to_numpy(), n.values.to_numpy())
+            if at[1] == at[2]:
+                yield _cross(*block)
+            elif first is not None and first[0] == at:
+                yield _cross(*first[1], *block)
+                first = None
+            else:
+                first = at, block
+
+
+def _class_needs(ns: pa.Array) -> pa.Array:
+    """How many signatures a class of n elements shares at least with any similar one."""
+    return pa.array([min(least_shared(n, q) for q in bands_of(n)) for n in ns.to_pylist()], type=pa.int64())
+
+
+def _pair_needs(na: pa.Array, nb: pa.Array) -> pa.Array:
+    """How many signatures a pair shares at least if it is similar, sparse ones left out."""
+    out = []
+    for x, y in zip(na.to_pylist(), nb.to_pylist()):
+        out.append(-(-shared(int(max_distance(x + y)), *DESIGNS[bands_of(max(x, y))[0]]) // 2))
+    return pa.array(out, type=pa.int64())
+
+
+def candidates(sigs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a, na, b, nb of the pairs of classes (sig, key, n) that share as many signatures as similar ones must."""
+    parts = int(sigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def grouped(rows: DataFrame, all_of: bool = False) -> DataFrame:
+        rows = rows.select("sig", "key", "n").repartition(parts, "sig").sortWithinPartitions("sig", "key", "n")
+        return rows.mapInArrow(tidied(_groups(block, all_of)), "sig long, part int, key array<long>, n array<long>")
+
+    blocks = stash(grouped(sigs), "blocks")
+    found = blocks.where("sig is null").select("key", "n").mapInArrow(tidied(_pairs), "a long, na long, b long, nb long")
+    hot = blocks.where("sig is not null")
+    need = F.arrow_udf(_pair_needs, returnType="long")("na", "nb")
+    if hot.isEmpty():
+        return found.groupBy("a", "na", "b", "nb").count().where(F.col("count") >= need).drop("count")
+    members = hot.select("sig", F.explode(F.arrays_zip("key", "n")).alias("x")).select("sig", "x.key", F.col("x.n").cast("int").alias("n"))
+    marked = stash(members.groupBy("key", "n").agg(F.count("*").alias("p")).withColumn("unsafe", F.col("p") >= F.arrow_udf(_class_needs, returnType="long")("n")), "marked")
+    kept = stash(grouped(members.join(marked.where("unsafe").select("key", "n"), ["key", "n"], "left_semi"), all_of=True), "hot")
+    sizes = kept.groupBy("sig").agg(F.max("part").alias("last"))
+    met = kept.join(sizes, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    met = met.select("sig", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key", "n")
+    met = met.repartition(parts, "sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(tidied(_meet), "a long, na long, b long, nb long")
+    counted = found.unionByName(met).groupBy("a", "na", "b", "nb").count()
+    for c in "ab":
+        p = marked.select(F.col("key").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("p").alias(f"p{c}"))
+        counted = counted.join(p, [c, f"n{c}"], "left")
+    less = F.least(F.coalesce("pa", F.lit(0)), F.coalesce("pb", F.lit(0)))
+    return counted.where(F.col("count") + less >= need).select("a", "na", "b", "nb")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,16 +327,12 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def similar_classes(documents: DataFrame, width: int = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(profile: doc_id, n, key of each row; links: a, na, b, nb between classes of equal sets), both written."""
     docs = pick(documents, "doc_id", "text")
     profile = stash(docs.mapInArrow(tidied(_profile(width)), "doc_id long, n long, key long, sigs array<long>"), "profile")
     sigs = profile.where("sigs is not null").select(F.explode("sigs").alias("sig"), "key", F.col("n").cast("int").alias("n"))
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "key", "n")
-    blocks = sigs.mapInArrow(tidied(_groups), "a array<long>, na array<long>, b array<long>, nb array<long>")
-    pairs = blocks.mapInArrow(tidied(_pairs), "a long, na long, b long, nb long").groupBy("a", "na", "b", "nb").count()
-    pairs = stash(pairs.where(F.col("count") >= _needed("na", "nb")).drop("count"), "pairs")
+    pairs = stash(candidates(sigs, block), "pairs")
 
     ends = pairs.select(F.col("a").alias("key"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
     first = profile.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id")).join(ends, ["key", "n"]).select(F.col("doc_id").alias("__id")).distinct()
@@ -255,13 +363,13 @@ def similar_classes(documents: DataFrame, width: int = WIDTH) -> tuple[DataFrame
     return profile.select("doc_id", "n", "key"), stash(checked.mapInArrow(tidied(compare), "a long, na long, b long, nb long"), "links")
 
 
-def near_duplicates(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id of each row of documents (doc_id, text), class_key, class_size, and leads.
 
     Components are of classes, not of doc_ids, which may repeat or be null. Of each one class leads: that of the smallest
     doc_id (the smallest key of several); leads marks the rows of it that have that doc_id, and all rows without shingles.
     """
-    profile, links = similar_classes(documents, width)
+    profile, links = similar_classes(documents, width, block)
     some = profile.where("n > 0")
     classes = some.groupBy("key", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")

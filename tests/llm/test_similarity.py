@@ -2,6 +2,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,12 +60,43 @@ def test_planted(spark):
     assert rows(partenum.near_duplicates(df)) == brute(docs)
 
 
-def test_blocks_of_a_hot_signature(spark, monkeypatch):
-    monkeypatch.setattr(partenum, "BLOCK", 3)
+def test_blocks_of_a_hot_signature(spark):
+    rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(200)]
-    docs = [(i, " ".join([*base, f"x{i}"])) for i in range(12)]
+    docs = [" ".join([*base, f"x{i}"]) for i in range(12)]
+    docs += [" ".join([*base[:120], *[f"y{i}.{k}" for k in range(80)]]) for i in range(9)]  # a long passage shared, but unlike
+    for i in range(9):  # half of these differ by one word, the others by many
+        own = [f"z{i // 2}.{k}" for k in range(60)]
+        docs.append(" ".join([*base[:60], *own[: 60 - i % 2], *[f"q{rng.integers(10**6)}"] * (i % 2)]))
+    docs = list(enumerate(docs))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(partenum.near_duplicates(df)) == brute(docs)
+    assert rows(partenum.near_duplicates(df, block=3)) == brute(docs)
+
+
+def test_groups_and_meetings():
+    rng = np.random.default_rng(6)
+    rows_ = sorted({(int(s), int(k), 20) for s, k in zip(rng.integers(0, 40, 900), rng.integers(0, 60, 900))})
+    want = {(a, b) for s in range(40) for a in [k for t, k, _ in rows_ if t == s] for b in [k for t, k, _ in rows_ if t == s] if a < b}
+    copies = [r for r in rows_ for _ in range(1 + r[1] % 2)]
+    for size in (1, 7, 1000):
+        parts = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*copies[i : i + size])], names=["sig", "key", "n"]) for i in range(0, len(copies), size)]
+        plain, hot = [], {}
+        for b in partenum._groups(4)(iter(parts)):
+            for sig, part, key, n in zip(*(c.to_pylist() for c in b.columns)):
+                assert len(key) <= 4
+                plain.append((key, n)) if sig is None else hot.setdefault(sig, {}).setdefault(part, (key, n))
+        kinds = pa.list_(pa.int64())
+        got = [p for b in partenum._pairs(iter([pa.record_batch([pa.array([x[k] for x in plain], kinds) for k in (0, 1)], names=["key", "n"])])) for p in zip(*(b.column(k).to_pylist() for k in (0, 2)))]
+        for sig, blocks in hot.items():
+            assert sorted(blocks) == list(range(len(blocks)))
+            met = [(sig, lo, hi, *blocks[x]) for lo in blocks for hi in blocks if lo <= hi for x in dict.fromkeys((lo, hi))]
+            b = pa.record_batch([pa.array([m[k] for m in met], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), kinds, kinds))], names=["sig", "lo", "hi", "key", "n"])
+            got += [p for c in partenum._meet(iter([b.slice(0, 3), b.slice(3)])) for p in zip(*(c.column(k).to_pylist() for k in (0, 2)))]
+        assert set(got) == want
+
+
+def test_every_band_enumerates_subsets():
+    assert all(k2 > 0 and n2 - k2 > 1 and n1 * (k2 + 1) > partenum.max_distance(2 * (int(partenum.BANDS[q + 1]) - 1)) for q, (n1, n2, k2) in enumerate(partenum.DESIGNS) if n1 * n2 > 1)
 
 
 @settings(max_examples=60, deadline=None)
@@ -76,11 +108,10 @@ def test_similar_sets_share_enough(size, edits, seed):
     both = len(np.intersect1d(a, b))
     if 100 * both < 90 * (len(a) + len(b) - both) or np.array_equal(a, b):
         return
-    q = int(np.searchsorted(partenum.BANDS, max(len(a), len(b)), side="right")) - 1
-    n1, n2, k2 = partenum.DESIGNS[q]
-    shared = len(np.intersect1d(partenum.signatures(a, q), partenum.signatures(b, q)))
-    need = max(1, -(-(n1 - partenum.max_distance(len(a) + len(b))) // 2)) if n2 == 1 and k2 == 0 else 1
-    assert shared >= need
+    q = partenum.bands_of(max(len(a), len(b)))[0]
+    common = len(np.intersect1d(partenum.signatures(a, q), partenum.signatures(b, q)))
+    assert common >= partenum._pair_needs(pa.array([len(a)]), pa.array([len(b)]))[0].as_py()
+    assert common >= max(partenum._class_needs(pa.array([len(x)]))[0].as_py() for x in (a, b))
 
 
 def test_components(spark):
