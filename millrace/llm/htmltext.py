@@ -1,13 +1,17 @@
 """Operator 2: main text of HTML pages by a tree-structured graphical model.
 
 A page becomes a tree of block elements and text runs. Each node has a log-linear potential of its tag, class and
-id words and link density; each edge has a parent-child potential by the child's tag. Sum-product
+id words and link density, a section also of how much text it holds, of which share of the page's that is, of its sentences and of whether
+it stands beside the article, or beside the section of most text; each edge has a parent-child potential by the child's tag. Sum-product
 messages upward and then downward give every node's marginal of being content; text runs above one half are kept. Both
-kinds of potentials are trained from labelled pages (a parameter; the default set is generated below from a seed).
+kinds of potentials are trained from labelled pages (a parameter; the default set is generated below from a seed, and what it gives is
+kept in data/html_model.json: `python -m millrace.llm.htmltext` makes it again).
 
 Scripts, styles, heads, embedded objects and other markup that shows no text are no nodes. Inline elements are part of
 their run, whose white space (line breaks included) becomes one space; character references are decoded once.
 
+Elements deeper than `DEEPEST` hang on the last one above that, as in browsers. Marks of labels are read in training only.
+
 Nulls: a null html is empty, and an empty page gives an empty text; a null page_id or url stays null. Repeated rows
 are extracted each. Empty tables give no rows. Very long pages are read whole; unclosed or cut markup ends with the page.
 Extra columns are not read.
@@ -16,6 +20,8 @@ Extra columns are not read.
 from __future__ import annotations
 
 import html
+import json
+import os
 import random
 import re
 from collections.abc import Iterator, Sequence
@@ -40,14 +46,24 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 PEERS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
+DEEPEST = 256
+SECTIONS = frozenset("div section aside nav header footer form ul ol dl table center fieldset details dialog menu address".split())
+
+NEUTRAL = frozenset("#text p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead blockquote pre figure figcaption".split())
+PLAIN = frozenset("#page body div section article main".split())
+
+
 class Tree:
     """Nodes in page order: parent (always earlier), tag ("#text" for runs), words of class, id and role, text, link characters."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.words, self.text, self.links, self.label = [-1], ["#page"], [()], [""], [0], [None]
+        self.parent, self.tag, self.words, self.text, self.links, self.label, self.depth = [-1], ["#page"], [()], [""], [0], [None], [0]
 
     def add(self, parent: int, tag: str, words: tuple = (), text: str = "", links: int = 0, label: int | None = None) -> int:
+        if self.depth[parent] >= DEEPEST:
+            parent = self.parent[parent]
         self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
         self.tag.append(tag)
         self.words.append(words)
         self.text.append(text)
@@ -56,9 +72,45 @@ class Tree:
         return len(self.parent) - 1
 
 
-def parse(page: str) -> Tree:
-    tree, stack, run, links = Tree(), [("#page", 0)], [], 0
-    in_link = dropped = 0
+class _Open:
+    """Open elements, innermost last, with the places of each tag and of the blocks: nothing is ever searched through."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int | None]] = [("#page", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+        self.links = self.dropped = 0
+
+    def push(self, tag: str, node: int | None) -> None:
+        k = len(self.stack)
+        self.places.setdefault(tag, []).append(k)
+        self.stack.append((tag, node))
+        if node is not None:
+            self.blocks.append(k)
+        self.links += tag == "a"
+        self.dropped += tag in DROPPED
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, node = self.stack.pop()
+            self.places[tag].pop()
+            if node is not None:
+                self.blocks.pop()
+            self.links -= tag == "a"
+            self.dropped -= tag in DROPPED
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these tags, 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    @property
+    def block(self) -> int:
+        return self.stack[self.blocks[-1]][1]
+
+
+def parse(page: str, labels: bool = False) -> Tree:
+    """The tree of a page; with `labels`, data-label="1" or "0" marks what is in an element (training only)."""
+    tree, open_, run, links = Tree(), _Open(), [], 0
     at, size = 0, len(page)
 
     def flush() -> None:
@@ -66,24 +118,15 @@ def parse(page: str) -> Tree:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                tree.add(next(n for _, n in reversed(stack) if n is not None), "#text", (), text, min(links, len(text)))
+                tree.add(open_.block, "#text", (), text, min(links, len(text)))
             run.clear()
         links = 0
 
-    def pop_to(k: int) -> None:
-        nonlocal in_link, dropped
-        for tag, node in stack[k:]:
-            if tag == "a":
-                in_link -= 1
-            if tag in DROPPED:
-                dropped -= 1
-        del stack[k:]
-
     def say(s: str) -> None:
         nonlocal links
-        if s and not dropped:
+        if s and not open_.dropped:
             run.append(s)
-            if in_link:
+            if open_.links:
                 links += len(s)
 
     while at < size:
@@ -97,15 +140,12 @@ def parse(page: str) -> Tree:
         if not tag:
             continue
         if m[1] or m[4]:  # an end
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(node is not None for _, node in stack[k:]):
-                        flush()
-                    pop_to(k)
-                    break
-            else:
-                if tag not in INLINE and tag != "br":
+            if k := open_.last(tag):
+                if open_.blocks[-1] >= k:
                     flush()
+                open_.pop_to(k)
+            elif tag not in INLINE and tag != "br":
+                flush()
             continue
         if tag == "br":
             say(" ")
@@ -120,69 +160,91 @@ def parse(page: str) -> Tree:
             if tag in RAW:
                 e = _RAW_END[tag].search(page, at)
                 at = size if e is None else e.start()
-            stack.append((tag, None))
-            dropped += 1
+            open_.push(tag, None)
             continue
-        if tag == "body" and dropped and any(t == "head" for t, _ in stack):
-            pop_to(next(k for k, (t, _) in enumerate(stack) if t == "head"))
-        if dropped:
-            stack.append((tag, None))
+        if tag == "body" and open_.dropped and open_.places.get("head"):
+            open_.pop_to(open_.places["head"][0])
+        if open_.dropped:
+            open_.push(tag, None)
             continue
         if tag in INLINE:
-            if tag == "a" and in_link:
-                pop_to(next(k for k, (t, _) in enumerate(stack) if t == "a"))
-            stack.append((tag, None))
-            in_link += tag == "a"
+            if tag == "a" and open_.links:
+                open_.pop_to(open_.places["a"][0])
+            open_.push(tag, None)
             continue
         flush()
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][1] is not None and stack[k][0] != "p":
-                    break
+        if tag in CLOSES_P and open_.stack[open_.blocks[-1]][0] == "p":
+            open_.pop_to(open_.blocks[-1])
         if tag in PEERS:
             peers, limits = PEERS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in peers.split():
-                    pop_to(k)
-                    if tag != "tr":
-                        break
-                elif stack[k][0] in limits:
+            while (k := open_.last(*peers.split())) > open_.last(*limits):
+                open_.pop_to(k)
+                if tag != "tr":
                     break
         attributes, words, label = m[3] or m[6] or "", [], None
         if attributes:
             for a in _ATTR.finditer(attributes):
                 value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4]
-                if a[1].lower() == "data-label":
-                    label = int(value)
-                else:
+                if a[1].lower() != "data-label":
                     words += _WORD.findall(value.lower())
-        above = next(n for _, n in reversed(stack) if n is not None)
-        stack.append((tag, tree.add(above, tag, tuple(dict.fromkeys(words)), label=label)))
+                elif labels and value in ("0", "1"):
+                    label = int(value)
+        open_.push(tag, tree.add(open_.block, tag, tuple(dict.fromkeys(words)), label=label))
     flush()
     return tree
 
 
+_SENTENCE = re.compile(r"[\w,;:)\"'»”] ?[.!?…](?:\s|\Z)")
+
+
 def kinds(tree: Tree) -> list[tuple]:
-    """What each node's potential depends on: tag, words, link density and, for a run, the parent's tag.
+    """What each node's potential depends on: tag, words, link density, for a run the parent's tag, for a section its text.
 
-    Lengths are left out on purpose: weak evidence from each of many paragraphs would add up against their block.
+    Lengths of single paragraphs are left out on purpose: weak evidence from each of many would add up against their section.
     """
     n = len(tree.parent)
-    chars, links = [len(t) for t in tree.text], list(tree.links)
+    chars, links, ends = [len(t) for t in tree.text], list(tree.links), [0] * n
+    for i, text in enumerate(tree.text):
+        if text:
+            ends[i] = len(_SENTENCE.findall(text))
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         chars[p] += chars[i]
         links[p] += links[i]
-    return [(tree.tag[i], tree.words[i], 4 * links[i] // max(chars[i], 1), tree.tag[tree.parent[i]] if tree.tag[i] == "#text" else "") for i in range(n)]
+        ends[p] += ends[i]
+    marked = max((i for i, t in enumerate(tree.tag) if t in ("article", "main")), key=lambda i: (chars[i], -i), default=-1)  # of several the one of most text
+    told = 1 if marked >= 0 else 2
+    if marked < 0:  # else the innermost section that holds half of the page's text, less of it in links
+        marked = max((i for i, t in enumerate(tree.tag) if t in SECTIONS and 2 * chars[i] >= chars[0] and 2 * links[i] < chars[i]), key=lambda i: (tree.depth[i], -i), default=-1)
+    holds, inside, i = set(), [False] * n, marked
+    while i >= 0:
+        holds.add(i)
+        i = tree.parent[i]
+    for i in range(1, n):
+        inside[i] = i == marked or inside[tree.parent[i]]
+    out = []
+    for i in range(n):
+        tag, more = tree.tag[i], ()
+        if tag == "#text":
+            up = tree.tag[tree.parent[i]]
+        else:
+            up = ""
+            if tag in ("article", "main"):
+                more = (i == marked,)
+            elif tag in SECTIONS:  # what is marked as an article is one however short
+                share = chars[i] / max(chars[0], 1)
+                beside = told if marked >= 0 and i not in holds and not inside[i] else 0
+                more = (min(chars[i].bit_length(), 11) // 2, 0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.5 else 3, min(ends[i], 3), beside)
+        out.append((tag, tree.words[i], 4 * links[i] // max(chars[i], 1), up, more))
+    return out
 
 
 def features(kind: tuple) -> list[str]:
-    """Names of a kind's features."""
-    tag, words, link, up = kind
-    return [f"tag={tag}", f"link={link}", *(f"word={w}" for w in words), *([f"in={up}"] if up else [])]
+    """Names of a kind's features; what stands in content and elsewhere alike, and often, says nothing by its tag."""
+    tag, words, link, up, more = kind
+    of = [f"{name}={x}" for name, x in zip(("size", "share", "ends", "beside") if len(more) > 1 else ("most",), more)]
+    own = [] if tag in NEUTRAL and not link else [f"tag={tag}", f"link={link}"] if tag not in NEUTRAL else [f"link={link}"]
+    return [*own, *(f"word={w}" for w in words), *([f"in={up}"] if up and up not in NEUTRAL and up not in PLAIN else []), *of]
 
 
 class Forest:
@@ -220,12 +282,21 @@ class Model:
     def __init__(self, weights: dict[str, float], edges: dict[str, list]):
         self.weights, self.edges, self.known = weights, edges, {}
 
+    def spell(self, word: str) -> list[str]:
+        """The word, or, if it isn't known, the longest known word that it begins and that it ends with."""
+        if f"word={word}" in self.weights or len(word) < 5:
+            return [word]
+        ends = [next((p for k in range(len(word) - 1, 3, -1) if f"word={(p := cut(k))}" in self.weights), None) for cut in (lambda k: word[:k], lambda k: word[-k:])]
+        return list(dict.fromkeys(e for e in ends if e))
+
     def z(self, kind: tuple) -> float:
         got = self.known.get(kind)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[kind] = sum(self.weights.get(f, 0.0) for f in features(kind))
+            tag, words, *rest = kind
+            spelt = tuple(dict.fromkeys(p for w in words for p in self.spell(w)))
+            got = self.known[kind] = sum(self.weights.get(f, 0.0) for f in features((tag, spelt, *rest)))
         return got
 
     def marginals(self, trees: Sequence[Tree]) -> list[np.ndarray]:
@@ -251,7 +322,7 @@ def train(pages: Sequence[str], rounds: int = 200, rate: float = 0.4, ridge: flo
     Edge potentials are distributions of the child's label given the parent's, so that a child without evidence of its
     own says nothing about its parent, however many there are.
     """
-    trees = [parse(p) for p in pages]
+    trees = [parse(p, labels=True) for p in pages]
     forest, label = Forest(trees), []
     for t in trees:
         good = [t.label[i] == 1 and tag == "#text" for i, tag in enumerate(t.tag)]
@@ -309,7 +380,7 @@ _OTHER = {
 def labelled_pages(n: int = 700, seed: int = 11) -> list[str]:
     """Pages of many layouts with marked content, generated from a seed."""
     rng = random.Random(seed)
-    parts = "ba co di fu ge ha li mo nu pe ra si to ve zu la ner tin sal mor".split()
+    parts, hidden = "ba co di fu ge ha li mo nu pe ra si to ve zu la ner tin sal mor".split(), 0.0
 
     def words(lo: int, hi: int) -> str:
         return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(lo, hi)))
@@ -320,11 +391,21 @@ def labelled_pages(n: int = 700, seed: int = 11) -> list[str]:
     def link(lo: int = 1, hi: int = 3) -> str:
         return f'<a href="/{words(1, 1)}">{words(lo, hi)}</a>'
 
+    def unnamed(open_: str) -> str:
+        """The element without telling names: of another tag maybe, and of class words that are seen nowhere else."""
+        tag = rng.choice([re.match(r"<(\w+)", open_)[1], "div", "div", "section"]) if "<p" not in open_ else "div"
+        if tag in ("article", "main", "nav", "header", "footer", "aside", "form"):
+            tag = "div"
+        name = "".join(rng.choice(parts) for _ in range(3)) + rng.choice(["", "-" + rng.choice(parts), "__" + rng.choice(parts), "_" + str(rng.randint(1, 99))])
+        return rng.choice([f'<{tag} class="{name}"{{}}>', f'<{tag} id="{name}"{{}}>', f"<{tag}{{}}>", f'<{tag} class="{name} {rng.choice(parts)}{rng.randint(1, 9)}"{{}}>'])
+
     def close(open_: str) -> str:
         return f"</{re.match(r'<(\w+)', open_)[1]}>"
 
     def other(kind: str) -> str:
         open_ = rng.choice(_OTHER[kind])
+        if rng.random() < hidden and kind != "talk":
+            open_ = unnamed(open_)
         if kind == "nav":
             inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8))) + "</ul>" if not open_.startswith("<ul") else "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8)))
         elif kind == "line":
@@ -370,7 +451,10 @@ def labelled_pages(n: int = 700, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
+        hidden = rng.choice([0.0, 0.0, 0.5, 0.9])
         open_ = rng.choice(_CONTENT)
+        if rng.random() < hidden / 2:
+            open_ = unnamed(open_)
         content = open_.format(' data-label="1"') + body() + close(open_)
         whole = rng.random()
         if whole < 0.12:
@@ -392,9 +476,19 @@ def labelled_pages(n: int = 700, seed: int = 11) -> list[str]:
     return pages
 
 
+MODEL = os.path.join(os.path.dirname(__file__), "data", "html_model.json")
+
+
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return train(labelled_pages())
+    with open(MODEL) as f:
+        kept = json.load(f)
+    return Model(kept["weights"], kept["edges"])
+
+
+def save(model: Model, path: str = MODEL) -> None:
+    with open(path, "w") as f:
+        json.dump({"weights": {k: round(w, 4) for k, w in sorted(model.weights.items())}, "edges": {k: np.round(e, 4).tolist() for k, e in sorted(model.edges.items())}}, f, indent=0)
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -414,3 +508,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    save(train(labelled_pages()))

@@ -1,6 +1,6 @@
 """Operator 3: token ids as canonical, length-limited Huffman code.
 
-File format (little-endian), one file per range of documents in ascending doc_id order:
+File format (little-endian), files of about FILE_IDS ids each, one after another in ascending doc_id order:
     b"MRH1", then blocks: u32 n_ids, u32 n_bytes, u32 n_marks, u32 bit offset of each mark, the code bytes.
     A mark stands at every MARK-th id, so that any stretch can be decoded alone; blocks are independent.
     Then the document table: doc_ids (i64; null is flagged), null flags (u8), n_ids (u32); last u64 n_docs, u64 byte offset of the table.
@@ -12,12 +12,12 @@ Empty tables give no rows. Very long texts run through many blocks. Extra column
 
 from __future__ import annotations
 
-import io
 import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import as_batch, pick, stash, tidied, work_dir
+from ._run import as_batch, file_system, pick, stash, tidied, work_dir
 
-MAX_BITS, BLOCK, MARK, TOGETHER = 16, 1 << 16, 128, 16
+MAX_BITS, BLOCK, MARK, TOGETHER, FILE_IDS = 16, 1 << 16, 128, 16, 1 << 25
 MAGIC = b"MRH1"
 
 
@@ -130,24 +130,14 @@ def decode_blocks(blocks: list[tuple[int, np.ndarray, bytes]], table: np.ndarray
     return out[np.arange(MARK)[None, :] < left[:, None]]
 
 
-def _fs(path: str):
-    """(file system, path in it) of a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
-
-
-def _put(path: str, data: bytes) -> None:
-    """Written beside its place and moved there, so that a retried or doubled task leaves one whole file."""
-    system, at = _fs(path)
+@contextmanager
+def _writing(path: str) -> Iterator:
+    """A stream written beside its place and moved there when it is whole, so that a retried or doubled task leaves one whole file."""
+    system, at = file_system(path)
     system.create_dir(posixpath.dirname(at), recursive=True)
     own = f"{at}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as f:
-        f.write(data)
+        yield f
     try:
         system.move(own, at)
     except OSError:  # some file systems don't move onto a file that is there
@@ -156,49 +146,67 @@ def _put(path: str, data: bytes) -> None:
 
 
 def _read(path: str) -> bytes:
-    system, at = _fs(path)
+    """A whole file; files are bounded by FILE_IDS."""
+    system, at = file_system(path)
     with system.open_input_file(at) as f:
         return f.read()
 
 
-def _tokenize(path: str, tokenizer: str, end_id: int):
-    """From sorted (doc_id, text): one raw file of ids and documents a task, and rows of its name and of its counts by id."""
-    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id", pa.int32()), ("n", pa.int64())])
+def _tokenize(path: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS):
+    """From sorted (doc_id, text): raw files of ids and documents, and rows of their names and of the task's counts by id.
+
+    A file ends with the document that fills it to `file_ids` ids; what a task holds is one document and one buffer of ids.
+    """
+    schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("id", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._tokens import encoder
 
-        shard, tok, end = TaskContext.get().partitionId(), encoder(tokenizer), int(end_id).to_bytes(2, "little")
-        codec, out, total = pa.Codec("zstd", compression_level=3), io.BytesIO(), np.zeros(1 << 16, dtype=np.int64)
-        docs, nulls, sizes, wait, waiting = [], [], [], [], 0
-
-        def flush() -> None:
-            raw = b"".join(wait)
-            total[:] += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << 16)
-            packed = codec.compress(raw, asbytes=True)
-            out.write(struct.pack("<II", len(raw), len(packed)) + packed)
-            wait.clear()
-
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = tok(text) + end
-                wait.append(ids)
-                waiting += len(ids) // 2
-                docs.append(doc_id or 0)
-                nulls.append(doc_id is None)
-                sizes.append(len(ids) // 2)
-                if waiting >= TOGETHER * BLOCK:
-                    flush()
-                    waiting = 0
-        if not docs:
+        first, tok, end = TaskContext.get().partitionId() << 24, encoder(tokenizer), int(end_id).to_bytes(2, "little")
+        codec, total, made = pa.Codec("zstd", compression_level=3), np.zeros(1 << 16, dtype=np.int64), []
+        docs = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+        def file(doc: tuple) -> tuple | None:
+            """One raw file that begins with doc; returns the document after it."""
+            shard, ids_of, nulls, sizes, wait, waiting = first + len(made), [], [], [], [], 0
+            name = f"{path}/raw/{shard:012d}"
+            with _writing(name) as out:
+
+                def flush() -> None:
+                    raw = b"".join(wait)
+                    total[:] += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << 16)
+                    packed = codec.compress(raw, asbytes=True)
+                    out.write(struct.pack("<II", len(raw), len(packed)) + packed)
+                    wait.clear()
+
+                while doc is not None and sum_of[0] < file_ids:
+                    ids = tok(doc[1]) + end
+                    for p in range(0, len(ids), 2 * TOGETHER * BLOCK):
+                        wait.append(ids[p : p + 2 * TOGETHER * BLOCK])
+                        waiting += len(wait[-1]) // 2
+                        if waiting >= TOGETHER * BLOCK:
+                            flush()
+                            waiting = 0
+                    ids_of.append(doc[0] or 0)
+                    nulls.append(doc[0] is None)
+                    sizes.append(len(ids) // 2)
+                    sum_of[0] += sizes[-1]
+                    doc = next(docs, None)
+                flush()
+                at = out.tell()
+                out.write(np.array(ids_of, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(sizes, "<u4").tobytes() + struct.pack("<QQ", len(ids_of), at))
+            made.append((shard, name, len(ids_of), sum_of[0]))
+            sum_of[0] = 0
+            return doc
+
+        sum_of, doc = [0], next(docs, None)
+        while doc is not None:
+            doc = file(doc)
+        if not made:
             return
-        flush()
-        at = out.tell()
-        out.write(np.array(docs, "<i8").tobytes() + np.array(nulls, "u1").tobytes() + np.array(sizes, "<u4").tobytes() + struct.pack("<QQ", len(docs), at))
-        name = f"{path}/raw/{shard:06d}"
-        _put(name, out.getvalue())
+        none = [None] * len(made)
+        yield as_batch(schema, **{c: [m[k] for m in made] for k, c in enumerate(("shard", "path", "n_docs", "n_ids"))}, id=none, n=none)
         some = np.flatnonzero(total)
-        yield as_batch(schema, shard=[shard], path=[name], n_docs=[len(docs)], n_ids=[sum(sizes)], id=[None], n=[None])
         none = [None] * len(some)
         yield as_batch(schema, shard=none, path=none, n_docs=none, n_ids=none, id=some.astype(np.int32), n=total[some])
 
@@ -207,33 +215,33 @@ def _tokenize(path: str, tokenizer: str, end_id: int):
 
 def _encode(path: str, lengths: np.ndarray):
     """From names of raw files: the coded files and their names."""
-    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, codes = pa.Codec("zstd"), canonical(lengths)
         for b in batches:
             for shard, name, n_docs, n_ids in zip(*(c.to_pylist() for c in b.columns)):
-                raw, out, rest, p = _read(name), io.BytesIO(), np.zeros(0, "<u2"), 0
+                raw, rest, p = _read(name), np.zeros(0, "<u2"), 0
                 at = struct.unpack("<QQ", raw[-16:])[1]
-                out.write(MAGIC)
-                while p < at:
-                    size, packed = struct.unpack_from("<II", raw, p)
-                    ids = np.concatenate([rest, np.frombuffer(codec.decompress(raw[p + 8 : p + 8 + packed], size), "<u2")])
-                    p += 8 + packed
-                    stop = len(ids) if p >= at else len(ids) // BLOCK * BLOCK
-                    for i in range(0, stop, BLOCK):
-                        out.write(encode_block(ids[i : min(i + BLOCK, stop)], lengths, codes))
-                    rest = ids[stop:]
-                table_at = out.tell()
-                out.write(raw[at:-8] + struct.pack("<Q", table_at))
-                final = f"{path}/ids-{shard:06d}.mrh"
-                _put(final, out.getvalue())
+                final = f"{path}/ids-{shard:012d}.mrh"
+                with _writing(final) as out:
+                    out.write(MAGIC)
+                    while p < at:
+                        size, packed = struct.unpack_from("<II", raw, p)
+                        ids = np.concatenate([rest, np.frombuffer(codec.decompress(raw[p + 8 : p + 8 + packed], size), "<u2")])
+                        p += 8 + packed
+                        stop = len(ids) if p >= at else len(ids) // BLOCK * BLOCK
+                        for i in range(0, stop, BLOCK):
+                            out.write(encode_block(ids[i : min(i + BLOCK, stop)], lengths, codes))
+                        rest = ids[stop:]
+                    table_at = out.tell()
+                    out.write(raw[at:-8] + struct.pack("<Q", table_at))
                 yield as_batch(schema, shard=[shard], path=[final], n_docs=[n_docs], n_ids=[n_ids])
 
     return run
 
 
-def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
+def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode documents (doc_id, text) into files under `path`; returns one row per file: shard, path, n_docs, n_ids.
 
     Texts are moved and encoded once: tasks over ranges of doc_id leave their ids in raw files, global counts give the
@@ -243,18 +251,19 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = pick(documents, "doc_id", "text").repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    made = stash(rows.mapInArrow(tidied(_tokenize(path, tokenizer, end_id)), "shard int, path string, n_docs long, n_ids long, id int, n long"), "counts")
+    made = stash(rows.mapInArrow(tidied(_tokenize(path, tokenizer, end_id, file_ids)), "shard long, path string, n_docs long, n_ids long, id int, n long"), "counts")
     some = made.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << 16, dtype=np.int64)
     counts[some["id"].to_numpy()] = some["n"].to_numpy()
     lengths = code_lengths(counts)
-    _put(f"{path}/lengths.bin", lengths.tobytes())
-    raw = made.where("path is not null").select("shard", "path", "n_docs", "n_ids")
-    n = raw.count()
-    if not n:
-        return spark.createDataFrame([], "shard int, path string, n_docs long, n_ids long")
-    files = raw.repartition(n, "shard").mapInArrow(tidied(_encode(path, lengths)), "shard int, path string, n_docs long, n_ids long").toArrow()
-    system, at = _fs(f"{path}/raw")
+    with _writing(f"{path}/lengths.bin") as f:
+        f.write(lengths.tobytes())
+    raw = made.where("path is not null").select("shard", "path", "n_docs", "n_ids").toArrow()
+    if not raw.num_rows:
+        return spark.createDataFrame([], "shard long, path string, n_docs long, n_ids long")
+    spread = spark.createDataFrame(raw).coalesce(1).repartition(raw.num_rows)  # in turn: a task has one file
+    files = spread.mapInArrow(tidied(_encode(path, lengths)), "shard long, path string, n_docs long, n_ids long").toArrow()
+    system, at = file_system(f"{path}/raw")
     system.delete_dir(at)
     return spark.createDataFrame(files)
 
@@ -296,7 +305,7 @@ def read_ids(files: DataFrame, path: str) -> DataFrame:
                     done += len(ids)
                 yield as_batch(schema, doc_id=pa.array(docs, mask=nulls), start=begin + ends - sizes, n_tokens=sizes, ids_crc32=crcs)
 
-    spots = spark.createDataFrame(placed, "path string, start long").repartition(len(placed))
+    spots = spark.createDataFrame(placed, "path string, start long").coalesce(1).repartition(len(placed))
     return spots.mapInArrow(tidied(decode), ddl)
 
 
