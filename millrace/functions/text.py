@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BITS = 60
+BITS = 64
 
 
 def normalize(text: str) -> str:
@@ -29,28 +29,80 @@ def hash_exact(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@lru_cache(maxsize=200_000)
-def _token_bits(token: str) -> np.ndarray:
-    value = np.frombuffer(hashlib.md5(token.encode(), usedforsecurity=False).digest()[:8], dtype=np.uint8)
-    return np.unpackbits(value)[:BITS].astype(np.int32) * 2 - 1
+class _Bits:
+    """MD5 bits of words, one row each, remembered per Python worker up to a bound."""
+
+    def __init__(self, limit: int = 1 << 18):
+        self.limit, self.rows, self.bits = limit, {}, np.zeros((0, BITS), dtype=np.int8)
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        """The row of each token."""
+        if len(self.rows) > self.limit:
+            self.__init__(self.limit)
+        new = [t for t in dict.fromkeys(tokens) if t not in self.rows]
+        if new:
+            raw = b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest()[: BITS // 8] for t in new)
+            add = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(len(new), -1), axis=1).astype(np.int8) * 2 - 1
+            self.rows.update(zip(new, range(len(self.bits), len(self.bits) + len(new))))
+            self.bits = np.concatenate([self.bits, add])
+        return np.fromiter(map(self.rows.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+
+_BITS, _STEP = _Bits(), 1 << 16
+
+
+def simhashes(texts: Sequence[str | None]) -> np.ndarray:
+    """64-bit SimHash over words as signed integers: bit k is set where more words' MD5 have bit k set than not. Nulls give 0."""
+    out, waiting, sizes, first = np.zeros(len(texts), dtype=np.int64), [], [], 0
+
+    def votes(tokens: list[str], ends: list[int]) -> np.ndarray:
+        total = np.zeros((len(ends), BITS), dtype=np.int32)
+        if tokens:
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            some = np.array(ends) > starts
+            ids = _BITS.ids(tokens)  # may make the rows
+            total[some] = np.add.reduceat(_BITS.bits[ids], starts[some], axis=0, dtype=np.int32)
+        return total
+
+    def pack(total: np.ndarray) -> np.ndarray:
+        return np.packbits(total > 0, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+    def flush(upto: int) -> None:
+        if sizes:
+            out[first:upto] = pack(votes(waiting, np.cumsum(sizes).tolist()))
+            waiting.clear()
+            sizes.clear()
+
+    for k, t in enumerate(texts):
+        tokens = [w for w in (t or "").split(" ") if w]
+        if len(tokens) > _STEP:  # a very long text alone, in pieces
+            flush(k)
+            out[k] = pack(sum(votes(tokens[i : i + _STEP], [len(tokens[i : i + _STEP])]) for i in range(0, len(tokens), _STEP)))[0]
+            first = k + 1
+            continue
+        waiting += tokens
+        sizes.append(len(tokens))
+        if len(waiting) >= _STEP:
+            flush(k + 1)
+            first = k + 1
+    flush(len(texts))
+    return out
 
 
 def simhash(text: str | None) -> int | None:
-    """60-bit SimHash over words: bit k is set where more words' MD5 have bit k set than not."""
-    if text is None:
-        return None
-    votes = np.zeros(BITS, dtype=np.int32)
-    for token in text.split(" "):
-        if token:
-            votes += _token_bits(token)
-    return int("".join("1" if v > 0 else "0" for v in votes), 2)
+    """`simhashes` of one text."""
+    return None if text is None else int(simhashes([text])[0])
+
+
+def simhash_array(texts: list[str | None]) -> pa.Array:
+    return pa.array(simhashes(texts), mask=np.array([t is None for t in texts], dtype=bool))
 
 
 def simhash_column(text: Column) -> Column:
     """`simhash` of a text column."""
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([simhash(t) for t in column.to_pylist()], type=pa.int64())
+        return simhash_array(column.to_pylist())
 
     return F.arrow_udf(run, returnType="long")(text)
 

@@ -7,13 +7,15 @@ lose none: SimHash bands by the pigeonhole principle, embeddings by cells of a p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BITS, hamming
+from ..functions.text import BITS, hamming, normalize, simhashes
 from ..plans.storage import stash
 
 
@@ -26,23 +28,76 @@ def keep_first(df: DataFrame, key: Column, order: str, state: DataFrame | None =
     return out.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
-def bands(value: Column, threshold: int, bits: int = BITS) -> Column:
-    """threshold + 1 bands of a fingerprint; two within the threshold agree on one."""
-    count = min(threshold + 1, bits)
-    width = -(-bits // count)
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(value, k * width).bitwiseAND(F.lit((1 << min(width, bits - k * width)) - 1)).alias("bits")) for k in range(count) if k * width < bits])
+def bands(value: Column, threshold: int, spare: int = 1, bits: int = BITS) -> Column:
+    """Of threshold + spare blocks of a fingerprint, all choices of `spare`: two within the threshold agree on one of them."""
+    count = min(threshold + spare, bits)
+    edges = [round(k * bits / count) for k in range(count + 1)]
+    blocks = [F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) if hi - lo < bits else value for lo, hi in zip(edges, edges[1:])]
+    out = []
+    for k, some in enumerate(combinations(range(count), max(count - threshold, 1))):
+        key = F.lit(0).cast("long")
+        for i in some:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(blocks[i])
+        out.append(F.struct(F.lit(k).alias("band"), key.alias("bits")))
+    return F.array(*out)
 
 
-def simhash_pairs(prints: DataFrame, threshold: int, other: DataFrame | None = None) -> DataFrame:
+def spare_blocks(n: int) -> int:
+    """More blocks give longer keys, hence smaller buckets, for more rows; none of the choices loses a pair."""
+    return 1 if n < 1 << 18 else 2 if n < 1 << 26 else 3
+
+
+def simhash_pairs(prints: DataFrame, threshold: int, other: DataFrame | None = None, spare: int = 1) -> DataFrame:
     """(i, j) of prints (id, print) within the threshold, i < j; with `other`, (i, j) of a row and one of the other."""
-    left = prints.select("id", "print", F.explode(bands(F.col("print"), threshold)).alias("b"))
-    right = (other if other is not None else prints).select(F.col("id").alias("jd"), F.col("print").alias("jprint"), F.explode(bands(F.col("print"), threshold)).alias("jb"))
+    left = prints.select("id", "print", F.explode(bands(F.col("print"), threshold, spare)).alias("b"))
+    right = (other if other is not None else prints).select(F.col("id").alias("jd"), F.col("print").alias("jprint"), F.explode(bands(F.col("print"), threshold, spare)).alias("jb"))
     joined = left.join(right, (F.col("b.band") == F.col("jb.band")) & (F.col("b.bits") == F.col("jb.bits")))
     if other is None:
         joined = joined.where("id < jd")
     return joined.where(hamming(F.col("print"), F.col("jprint")) <= threshold).select(F.col("id").alias("i"), F.col("jd").alias("j")).distinct()
 
 
+def deduplicate_texts(texts: Sequence[str], threshold: int = 3) -> list[str]:
+    """Of texts in memory, those within the threshold of no kept earlier one. Tables have `check_simhash`."""
+    kept, prints = [], np.zeros(0, dtype=np.uint64)
+    for text, print_ in zip(texts, simhashes([normalize(t) for t in texts]).view(np.uint64)):
+        if not len(prints) or np.bitwise_count(prints ^ print_).min() > threshold:
+            kept.append(text)
+            prints = np.append(prints, print_)
+    return kept
+
+
+def nearest_cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(i, j, distance, rank): the k of vectors (id, v: unit length) at the least 1 - cosine from each query (id, v), itself left out.
+
+    Exact. Blocks of queries meet blocks of vectors as matrix products, and each product keeps its best k; ties go to the smaller id.
+    """
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(df: DataFrame, blocks: int) -> DataFrame:
+        rows = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+        return rows.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+
+    n = [max(1, -(-df.count() // block)) for df in (queries, vectors)]
+    asked = packed(queries, n[0]).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n[1] - 1))))
+    both = asked.join(packed(vectors, n[1]).select(F.col("b").alias("c"), F.col("rows").alias("others")), "c").select("rows", "others").repartition(parts)
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, others in zip(*b.columns):
+                (i, q), (j, v) = ((x.values.field("id").to_numpy(), np.stack(x.values.field("v").to_numpy(zero_copy_only=False))) for x in (rows, others))
+                distance = np.round(np.abs(q @ v.T - 1), 9)  # equal vectors tie
+                distance[i[:, None] == j[None, :]] = np.inf
+                order = np.lexsort((np.broadcast_to(j, distance.shape), distance), axis=1)[:, :k]
+                best = np.take_along_axis(distance, order, axis=1)
+                some = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (np.broadcast_to(i[:, None], order.shape), j[order], best)], schema=schema)
+
+    by = Window.partitionBy("i").orderBy("distance", "j")
+    return both.mapInArrow(run, "i long, j long, distance double").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def unit(vector: Column) -> Column:
     v = vector.cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))

@@ -147,22 +147,70 @@ class E5Embedder:
         return self._model.encode([f"query: {t}" for t in texts], normalize_embeddings=True).tolist()
 
 
-_SCALES = {
-    "conversation": ("helpfulness", "accuracy", "coherence", "language"),
-    "conversation_lite": ("overall",),
-    "tools_calling": ("tool_choice", "arguments", "use_of_results", "answer"),
-    "tools_calling_lite": ("overall",),
+#: What each kind of judge rates, and what the ends of the scale mean, by language.
+_RATES = {
+    "conversation": {
+        "helpfulness": ("Does the assistant do what the user wants, wholly and without detours?", "Czy asystent robi to, o co prosi użytkownik, w całości i bez zbędnych dygresji?"),
+        "accuracy": ("Are the facts, figures and conclusions right, and are doubts named as such?", "Czy fakty, liczby i wnioski są prawdziwe, a wątpliwości nazwane wprost?"),
+        "coherence": ("Do the turns follow from one another, without contradiction or repetition?", "Czy kolejne wypowiedzi wynikają z poprzednich, bez sprzeczności i powtórzeń?"),
+        "language": ("Is the wording natural, correct, and in the user's own language and tone?", "Czy język jest naturalny, poprawny i zgodny z językiem i tonem użytkownika?"),
+    },
+    "conversation_lite": {"overall": ("How good is the conversation as an example to learn from?", "Jak dobrym przykładem do nauki jest ta rozmowa?")},
+    "tools_calling": {
+        "tool_choice": ("Is a tool called where one is needed, the right one, and none where none is?", "Czy narzędzie jest wywołane tam, gdzie trzeba, właściwe, a tam, gdzie nie trzeba, żadne?"),
+        "arguments": ("Are all required arguments there, of the right type, and taken from the conversation rather than invented?", "Czy są wszystkie wymagane argumenty, właściwego typu i wzięte z rozmowy, a nie wymyślone?"),
+        "use_of_results": ("Does the assistant read the results as they are, and deal with errors and empty ones?", "Czy asystent wiernie odczytuje wyniki i radzi sobie z błędami oraz brakiem wyników?"),
+        "answer": ("Does the last answer settle the user's question on the ground of what the tools gave?", "Czy ostatnia odpowiedź rozstrzyga pytanie użytkownika na podstawie tego, co zwróciły narzędzia?"),
+    },
+    "tools_calling_lite": {"overall": ("How well are the tools used to answer the user?", "Jak dobrze użyto narzędzi, by odpowiedzieć użytkownikowi?")},
 }
-_WORDS = {
-    "en": ("Rate the conversation below on a scale from 1 (poor) to 5 (excellent) for: {names}. Answer with one JSON object that has these names and `comment`.", "Tools:", "Conversation:"),
-    "pl": ("Oceń poniższą rozmowę w skali od 1 (słabo) do 5 (doskonale) pod względem: {names}. Odpowiedz jednym obiektem JSON z tymi nazwami i polem `comment`.", "Narzędzia:", "Rozmowa:"),
+_SCALES = {kind: tuple(rates) for kind, rates in _RATES.items()}
+_JUDGE = {
+    "en": """You examine conversations from which a language model is to learn. Judge the one below strictly: a mistake that a careful reader would notice costs at least one point.
+
+What to rate, each with a whole number:
+{rates}
+
+The scale:
+1 - harmful or useless: must not be learned from
+2 - serious faults
+3 - usable, with plain weaknesses
+4 - good, with small blemishes
+5 - nothing to improve
+{tools}
+The conversation, as JSON messages in order:
+{messages}
+
+Think it through first, then answer with nothing but one JSON object of this form:
+{form}""",
+    "pl": """Oceniasz rozmowy, na których ma się uczyć model językowy. Poniższą oceń surowo: błąd, który zauważyłby uważny czytelnik, kosztuje co najmniej jeden punkt.
+
+Co oceniasz, zawsze liczbą całkowitą:
+{rates}
+
+Skala:
+1 - szkodliwa lub bezużyteczna: nie wolno się na niej uczyć
+2 - poważne błędy
+3 - do użycia, z wyraźnymi słabościami
+4 - dobra, z drobnymi usterkami
+5 - nie ma czego poprawiać
+{tools}
+Rozmowa, jako kolejne wiadomości w formacie JSON:
+{messages}
+
+Najpierw przemyśl ocenę, a potem odpowiedz wyłącznie jednym obiektem JSON w tej postaci:
+{form}""",
 }
+_TOOLS = {"en": "\nThe tools that the assistant may call, as JSON; a name or argument that isn't here is a fault:\n", "pl": "\nNarzędzia, których asystent może użyć, w formacie JSON; nazwa lub argument spoza listy jest błędem:\n"}
 
 
 def judge_prompt(kind: str, language: str, messages: Any, tools: Any) -> str:
-    head, with_tools, talk = _WORDS.get(language, _WORDS["en"])
-    part = f"{with_tools}\n{json.dumps(tools, ensure_ascii=False)}\n" if kind.startswith("tools_calling") else ""
-    return f"{head.format(names=', '.join(_SCALES[kind]))}\n{part}{talk}\n{json.dumps(messages, ensure_ascii=False)}"
+    """What a judge is asked of a conversation; another language than en and pl gets the English text."""
+    language = language if language in _JUDGE else "en"
+    rates = "\n".join(f"- {name}: {texts[language == 'pl']}" for name, texts in _RATES[kind].items())
+    part = _TOOLS[language] + json.dumps(tools, ensure_ascii=False) + "\n" if kind.startswith("tools_calling") else ""
+    form = "{" + "".join(f'"{name}": 1-5, ' for name in _RATES[kind]) + '"comment": "..."}'
+    return _JUDGE[language].format(rates=rates, tools=part, messages=json.dumps(messages, ensure_ascii=False, indent=1), form=form)
 
 
 def judge_schema(kind: str) -> dict:

@@ -31,7 +31,7 @@ from ..functions.compile import Compiler, NotNative
 from ..functions.filters import dumps
 from ..functions.json_schema import closed, is_valid
 from ..functions.text import chunk as chunk_text
-from ..functions.text import hash_exact, language_scores, normalize, simhash
+from ..functions.text import hash_exact, language_scores, normalize, simhash_array
 from ..operators import conversation as conv
 from ..operators import dedup, generate, validate
 from ..session import get_spark
@@ -159,13 +159,12 @@ class Pipeline:
         return self
 
     def with_j2_template(self, name: str, path: str, op_config: str | None = None) -> Pipeline:
-        with open(path) as f:
-            return self.with_template(name, f.read())
+        return self.with_template(name, storage.read_text(self.spark, path))
 
     def with_templates(self, path: str, op_config: str | None = None) -> Pipeline:
-        for file in sorted(os.listdir(path)):
+        for file in storage.names(self.spark, path):
             if file.endswith((".j2", ".jinja")):
-                self.with_j2_template(file, os.path.join(path, file))
+                self.with_j2_template(file, f"{path.rstrip('/')}/{file}")
         return self
 
     def with_j2_templates(self, path: str, op_config: str | None = None) -> Pipeline:
@@ -641,7 +640,7 @@ class _Steps:
 
         @F.arrow_udf("long")
         def run(text: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else simhash(normalize(t)) for t in text.to_pylist()], type=pa.int64())
+            return simhash_array([None if t is None else normalize(t) for t in text.to_pylist()])
 
         rows = storage.stash(self.df.withColumn("__value", run(self._string(input))).where("__value is not null"), "simhash")
         prints = dedup.keep_first(rows.select(F.col("index").alias("id"), F.col("__value").alias("print")), F.col("print"), "id").drop("__key")
@@ -652,7 +651,7 @@ class _Steps:
             prints = prints.join(near.select(F.col("i").alias("id")).distinct(), "id", "left_anti")
         prints = storage.stash(prints, "prints")
         pick = dedup.independent if greedy else dedup.any_earlier
-        ids = pick(prints.select("id"), dedup.simhash_pairs(prints, threshold))
+        ids = pick(prints.select("id"), dedup.simhash_pairs(prints, threshold, spare=dedup.spare_blocks(prints.count())))
         self._gate(step, rows.join(ids.withColumnRenamed("id", "index"), "index", "left_semi"), "simhashes", "__value", input)
         return self
 

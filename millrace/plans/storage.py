@@ -12,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, a folder of our own."""
+    """spark.checkpoint.dir of the session; only where that is unset, and all runs on this machine, a folder of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -32,6 +34,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder of any file system, sorted."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.isFile())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def _remove_late(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
@@ -39,10 +57,15 @@ def _remove_late(spark: SparkSession, path: str) -> None:
         pass
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove_late, spark, path)
+    return path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again, so that it neither runs twice nor is lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    path = work_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove_late, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -250,13 +250,14 @@ def dedup_exact(spark, sf):
     return r.dataframe().select("doc_id")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND e.text = d.text)) WHERE n = 1")
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e JOIN labels l ON l.doc_id = e.doc_id WHERE e.text = d.text)) WHERE n = 1")
 def dedup_exact_state(spark, sf):
-    """A second batch (odd ids) against what a first one (even ids) kept: the two batches are the operator's input."""
+    """All documents against what an earlier run kept, whose input were the labelled ones."""
     docs = read(spark, sf, "documents")
     key = text_functions.hash_exact(F.col("text"))
-    first = dedup.keep_first(docs.where("doc_id % 2 = 0"), key, "doc_id").select(F.col("__key").alias("key"))
-    return dedup.keep_first(docs.where("doc_id % 2 = 1"), key, "doc_id", first).select("doc_id")
+    labelled = docs.join(read(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    first = dedup.keep_first(labelled, key, "doc_id").select(F.col("__key").alias("key"))
+    return dedup.keep_first(docs, key, "doc_id", first).select("doc_id")
 
 
 @query("SELECT count(DISTINCT json_extract(props, '$.k')) AS n FROM events")
@@ -264,12 +265,14 @@ def canonical_json_keys(spark, sf):
     return read(spark, sf, "events").agg(F.countDistinct(canonical_json(F.col("props"))).alias("n"))
 
 
+#: Hashes are unsigned; a fingerprint is read as a signed number.
 _SIMHASH_SQL = """
 WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
 w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w FROM n),
-h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) AS h FROM w WHERE w <> ''),
-b AS (SELECT doc_id, k, sum(CASE WHEN (h >> k) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(60) r(k) GROUP BY doc_id, k),
-s AS (SELECT doc_id AS id, CAST(sum(CASE WHEN v > 0 THEN 1::BIGINT << k ELSE 0 END) AS BIGINT) AS print FROM b GROUP BY doc_id)"""
+h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 16) AS UBIGINT) AS h FROM w WHERE w <> ''),
+b AS (SELECT doc_id, k, sum(CASE WHEN (h >> k) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) r(k) GROUP BY doc_id, k),
+u AS (SELECT doc_id AS id, sum(CASE WHEN v > 0 THEN 1::HUGEINT << CAST(k AS INTEGER) ELSE 0::HUGEINT END) AS p FROM b GROUP BY doc_id),
+s AS (SELECT id, CAST(CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END AS BIGINT) AS print FROM u)"""
 
 
 def _prints(spark, sf):
@@ -282,7 +285,7 @@ _FIRST_SQL = _SIMHASH_SQL + ", f AS (SELECT min(id) AS id, print FROM s GROUP BY
 
 
 def _first_prints(spark, sf):
-    return _prints(spark, sf).groupBy("print").agg(F.min("id").alias("id"))
+    return dedup.stash(_prints(spark, sf).groupBy("print").agg(F.min("id").alias("id")), "prints")
 
 
 @query(_SIMHASH_SQL + " SELECT id, print FROM s")
@@ -298,13 +301,14 @@ def simhash_classes(spark, sf):
 
 @query(_FIRST_SQL + " SELECT a.id AS i, b.id AS j FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.print, b.print)) <= 3")
 def simhash_pairs_t3(spark, sf):
-    return dedup.simhash_pairs(_first_prints(spark, sf), 3)
+    prints = _first_prints(spark, sf)
+    return dedup.simhash_pairs(prints, 3, spare=dedup.spare_blocks(prints.count()))
 
 
 @query(_SIMHASH_SQL + " SELECT id FROM s WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id < s.id AND bit_count(xor(s.print, b.print)) <= 3)")
 def simhash_any_earlier_t3(spark, sf):
-    prints = dedup.stash(_first_prints(spark, sf), "prints")
-    return dedup.any_earlier(prints.select("id"), dedup.simhash_pairs(prints, 3))
+    prints = _first_prints(spark, sf)
+    return dedup.any_earlier(prints.select("id"), dedup.simhash_pairs(prints, 3, spare=dedup.spare_blocks(prints.count())))
 
 
 @query()
@@ -455,16 +459,33 @@ def log_summary(spark, sf):
     return e.groupBy("level", "message").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
-@query(_FIRST_SQL + """, q AS (SELECT a.id, b.id AS near, bit_count(xor(a.print, b.print)) AS d FROM f a JOIN f b ON a.id <> b.id AND bit_count(xor(a.print, b.print)) <= 3)
-SELECT id, near FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, near) <= 3""")
+@query(_SIMHASH_SQL + """, q AS (SELECT a.id, b.id AS near, bit_count(xor(a.print, b.print)) AS d FROM s a JOIN s b ON a.id <> b.id AND bit_count(xor(a.print, b.print)) <= 3)
+SELECT id, near, CAST(d AS INTEGER) AS d FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, near) <= 3""")
 def topk_neighbors(spark, sf):
-    """Up to three nearest of each distinct fingerprint within distance 3: k is the report's meaning."""
-    prints = dedup.stash(_first_prints(spark, sf), "prints")
-    pairs = dedup.simhash_pairs(prints, 3)
-    both = pairs.select(F.col("i").alias("id"), F.col("j").alias("near")).union(pairs.select("j", "i"))
-    p, q = prints.select("id", F.col("print").alias("p")), prints.select(F.col("id").alias("near"), F.col("print").alias("q"))
-    d = both.join(p, "id").join(q, "near").withColumn("d", text_functions.hamming(F.col("p"), F.col("q")))
-    return d.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "near"))).where("r <= 3").select("id", "near")
+    """Up to three nearest of each document within distance 3, copies at 0 included: k is the report's meaning.
+
+    Pairs are between classes of equal fingerprints; a class needs only the four smallest ids of each class near it, or of itself.
+    """
+    docs = dedup.stash(_prints(spark, sf), "prints")
+    by = Window.partitionBy("print").orderBy("id")
+    few = docs.withColumn("r", F.row_number().over(by)).where("r <= 4").groupBy("print").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = dedup.stash(few.withColumn("id", F.col("ids")[0]), "classes")
+    pairs = dedup.simhash_pairs(few.select("id", "print"), 3, spare=dedup.spare_blocks(few.count()))
+    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(few.select(F.col("id").alias("i"), F.col("id").alias("j")))
+    a, b = few.select(F.col("id").alias("i"), "print"), few.select(F.col("id").alias("j"), F.col("print").alias("other"), "ids")
+    near = both.join(a, "i").join(b, "j").select("print", F.explode("ids").alias("near"), text_functions.hamming(F.col("print"), F.col("other")).cast("int").alias("d"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("print").orderBy("d", "near"))).where("r <= 4").drop("r")
+    out = docs.join(near, "print").where("id <> near")
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "near"))).where("r <= 3").select("id", "near", "d")
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(abs(list_cosine_similarity(a.e, b.e) - 1), 9), b.vec_id) <= 5""")
+def topk_cosine(spark, sf):
+    """The five nearest of each hundredth vector among all, by cosine."""
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), dedup.unit(F.col("embedding")).alias("v")).where("v is not null")
+    return dedup.nearest_cosine(v.where("id % 100 = 0"), v, 5).select("i", "j")
 
 
 @query("SELECT 'FILTER--1' AS step, count(*) FILTER (WHERE lang <> 'en') AS \"count\" FROM documents")
@@ -493,3 +514,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLE["flagship"] = """SELECT doc_id, lang, CAST(floor(n_chars / 1000) AS BIGINT) AS size FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE n_chars >= 200 AND lang = 'en') WHERE n = 1"""
+
+from . import queries_io  # noqa: E402, F401  registers its queries

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import run_sql
+from ..plans.storage import stash
 from . import phrases, tools
 
 
@@ -196,6 +197,8 @@ def with_sql(spark: SparkSession, name: str, df: DataFrame, sql: str | None) ->
 def with_index(df: DataFrame, name: str = "index") -> DataFrame:
     """df with dense ordinals in source order: one count per partition gives each partition's first ordinal; rows don't move."""
     spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # a shuffle may deal rows otherwise when it runs again
+        df = stash(df, "ordinals")
     numbered = df.withColumn("__mid", F.monotonically_increasing_id())
     counts = numbered.select(F.shiftright("__mid", 33).alias("p")).groupBy("p").count().orderBy("p").collect()  # one row per partition
     starts, total = [], 0
