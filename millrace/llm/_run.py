@@ -99,6 +99,13 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, nor any that begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def as_batch(schema, **columns):
     """An Arrow batch by column name, cast to a schema."""
     import pyarrow as pa

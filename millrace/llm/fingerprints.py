@@ -4,7 +4,7 @@ A sketch grows with its text, two sketches merge by union, and the share of one
 containment however unequal the texts are. Shingles are `WIDTH` lower-cased words (fewer words: the whole sequence).
 The fraction is 1/4; a text of at most `FEW` distinct shingles keeps all of its hashes, so that short texts are compared exactly.
 Sketches of both kinds are compared, and merged, below the fraction. The fingerprint string is the base64 of the
-sorted 32 upper bits, after "=" where all are kept.
+sorted 32 upper bits, after "=" where all are kept; of a text without words it is empty.
 
 Following documents (ascending doc_id, ties by text hash, nulls first) are brought together by ranges of doc_id;
 a doc_id (or null) that fills several ranges is split by text hash. Each range also gets the first document of the next one,
@@ -55,12 +55,12 @@ def sketches(texts: pa.Array, width: int = WIDTH, bits: int = FRACTION_BITS, few
 
 
 def to_string(values: np.ndarray, whole: bool) -> str:
-    return ("=" if whole else "") + base64.b64encode(values.astype(">u4").tobytes()).decode().rstrip("=")
+    return ("=" if whole and len(values) else "") + base64.b64encode(values.astype(">u4").tobytes()).decode().rstrip("=")
 
 
 def from_string(text: str) -> Sketch:
     body = text.removeprefix("=")
-    return np.frombuffer(base64.b64decode(body + "=" * (-len(body) % 4)), dtype=">u4").astype(np.uint32), text.startswith("=")
+    return np.frombuffer(base64.b64decode(body + "=" * (-len(body) % 4)), dtype=">u4").astype(np.uint32), text[:1] in ("", "=")
 
 
 def _level(a: Sketch, b: Sketch, bits: int = FRACTION_BITS) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._run import pick, stash, table
+from ._run import fresh, pick, stash, table
 
 WEIGHTS, MAX_REPEATS, SEED, BUCKET_DIGITS = (5, 2, 1), 3, "mix-1", 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,13 +147,13 @@ def copies(documents: DataFrame) -> DataFrame:
 
     The texts are not shuffled: what decides is one row per pattern (broadcast; the driver has held as many).
     """
-    mixed = mix(sized(documents))
+    mixed, own = mix(sized(documents)), fresh(documents, "__mix")
     last = F.max(F.when((F.col("more") > 0) & (2 * F.col("more") >= F.col("size")), F.struct("at", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))))
-    cuts = mixed.groupBy("pattern").agg(F.first("whole").alias("__mix_whole"), last.alias("__mix_last")).withColumnRenamed("pattern", "__mix_pattern")
+    cuts = mixed.groupBy("pattern").agg(F.first("whole").alias(f"{own}_whole"), last.alias(f"{own}_last")).withColumnRenamed("pattern", f"{own}_pattern")
     here = F.struct(rank().alias("at"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"))
-    joined = documents.join(F.broadcast(cuts), F.to_json(F.struct(F.array("source").alias("m"))) == F.col("__mix_pattern"))
-    n = F.col("__mix_whole").cast("int") + F.coalesce((here <= F.col("__mix_last")).cast("int"), F.lit(0))
-    return joined.withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), n))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    joined = documents.join(F.broadcast(cuts), F.to_json(F.struct(F.array("source").alias("m"))) == F.col(f"{own}_pattern"))
+    n = F.col(f"{own}_whole").cast("int") + F.coalesce((here <= F.col(f"{own}_last")).cast("int"), F.lit(0))
+    return joined.withColumn(f"{own}_k", F.explode(F.array_repeat(F.lit(0), n))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 OP1_SQL = rf"""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._run import as_batch, pick, small_batches, stash, table, tidied
+from ._run import as_batch, fresh, pick, small_batches, stash, table, tidied
 
 WIDTH, PERCENT = 5, 90
 BAND_GROWTH, BLOCK, SEEN, MOST_SKIPPED, SLACK = 1.5, 256, 1 << 18, 8, 1.15
@@ -391,14 +391,14 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, block: int = BLOCK
     return out.unionByName(none)
 
 
-def with_class(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """documents with __set, the (key, n) of each row's set of shingles."""
+def with_class(documents: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
+    """documents with the (key, n) of each row's set of shingles, in a column of that name."""
 
     def run(texts: pa.Array) -> pa.Array:
         got = [(set_key(s), len(s)) for s in sets_of(texts, width)]
         return pa.StructArray.from_arrays([pa.array([g[k] for g in got], type=pa.int64()) for k in (0, 1)], names=["key", "n"])
 
-    return documents.withColumn("__set", F.arrow_udf(run, returnType="struct<key: bigint, n: bigint>")("text"))
+    return documents.withColumn(name, F.arrow_udf(run, returnType="struct<key: bigint, n: bigint>")("text"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
@@ -408,6 +408,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     doc_id is repeated (or null) it doesn't tell the rows apart: sets of those rows are made again, and each row is judged by its own.
     """
     small_batches(documents.sparkSession)
+    own = fresh(documents, "__set")
     near = near_duplicates(documents).groupBy(F.col("doc_id").alias("__id"), F.struct(F.col("class_key").alias("key"), F.col("n_shingles").alias("n")).alias("__of")).agg(F.count("*").alias("rows"), F.max("leads").alias("leads"))
     stay = F.when(F.col("__of.n") == 0, F.col("rows")).otherwise(F.col("leads").cast("long"))
     near = stash(near.select("__id", "__of", "rows", stay.alias("stay")), "kept")
@@ -417,8 +418,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     some = documents.join(again, documents["doc_id"].eqNullSafe(again["__id"]), "left_semi")
     has_words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     lead = near.where("stay > 0 and __of.n > 0").select("__id", "__of").join(again.withColumnRenamed("__id", "__again"), F.col("__id").eqNullSafe(F.col("__again")), "left_semi")
-    led = with_class(some.where(has_words))
-    led = led.join(lead, led["doc_id"].eqNullSafe(lead["__id"]) & (led["__set"] == lead["__of"]), "left_semi").dropDuplicates(["doc_id", "__set"]).drop("__set")
+    led = with_class(some.where(has_words), own)
+    led = led.join(lead, led["doc_id"].eqNullSafe(lead["__id"]) & (led[own] == lead["__of"]), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return once.unionByName(led).unionByName(some.where(~has_words))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import pick, small_batches, table, tidied
+from ._run import fresh, pick, small_batches, table, tidied
 from ._text import mix
 
 SAMPLE, FOLDS = 8000, 5
@@ -118,22 +118,28 @@ class Words:
     def __init__(self, texts: Sequence[str]):
         known: dict[str, int] = {"": 0}
         parts = [np.array([0, *(known.setdefault(w, len(known)) for w in t.split()), 0], dtype=np.int64) for t in texts]
-        self.names, self.ids = list(known), np.concatenate([np.zeros(1, np.int64), *parts])
-        self.text = np.concatenate([np.zeros(1, np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])])
+        end = np.zeros(1, np.int64)
+        self.names, self.ids = list(known), np.concatenate([end, *parts, end])
+        self.text = np.concatenate([end, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), end])
 
     def contexts(self, which: np.ndarray) -> np.ndarray:
-        """For either half (by a checksum of the neighbours) and each word: in how many different pairs of neighbours it stands in the texts `which`."""
+        """For either half (by a checksum of the context) and each word: in how many different contexts, two words to either side, it stands in the texts `which`."""
         size, at = len(self.names), np.flatnonzero((self.ids > 0) & which[self.text])
-        key = np.unique((self.ids[at - 1] * size + self.ids[at]) * size + self.ids[at + 1])
-        side = mix((key // size // size * size + key % size).astype(np.uint64)) >> np.uint64(63)
-        return np.stack([np.bincount((key // size % size)[side == s], minlength=size) for s in (0, 1)])
+        context = np.zeros(len(at), dtype=np.uint64)
+        for k in (-2, -1, 1, 2):
+            context = mix(context * np.uint64(0x9E3779B97F4A7C15) + self.ids[at + k].astype(np.uint64) + np.uint64(1))
+        order = np.lexsort((context, self.ids[at]))
+        word, context = self.ids[at][order], context[order]
+        new = np.ones(len(word), dtype=bool)
+        new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+        word, side = word[new], context[new] >> np.uint64(63)
+        return np.stack([np.bincount(word[side == s], minlength=size) for s in (0, 1)])
 
 
 def learn_lexicon(words: Words, toxic: np.ndarray, least: int = 3, lift: float = 6.0, surprise: float = 30.0, shortest: int = 3, longest: int = 9) -> dict[str, float]:
     """Word beginnings that are far more frequent in toxic texts, with log-lift weights.
 
-    words: of distinct folded texts; toxic: of each text. A word counts once for each pair of neighbours, so that copies of a passage
-    don't add up. Of beginnings that contain each other, the one whose counts are the most surprising (by the log-likelihood
+    words: of distinct folded texts; toxic: of each text. A word counts once for each context, so that copies of a passage don't add up. Of beginnings that contain each other, the one whose counts are the most surprising (by the log-likelihood
     ratio) stands; ties go to the longer. It must have `least` contexts in toxic texts (1% of their number, if that is more) and
     be `lift` times as frequent there as in clean ones; and it must hold where it wasn't found: contexts fall into
     two halves, and in either alone it must be in a toxic text and lifted half as much (in logs).
@@ -266,5 +272,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model doesn't reject, with their own columns."""
-    names = documents.columns
-    return score(documents, fit(documents, labels), keep=names, prefix="__tox").where("__tox_score < 0.5").select(*[F.col(f"`{c}`") for c in names])
+    names, own = documents.columns, fresh(documents, "__tox")
+    return score(documents, fit(documents, labels), keep=names, prefix=own).where(F.col(f"{own}_score") < 0.5).select(*[F.col(f"`{c}`") for c in names])

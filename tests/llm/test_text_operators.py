@@ -53,7 +53,8 @@ def test_fingerprints(spark, sf):
     for i, d in enumerate(docs):
         after, n, r = docs[(i + 1) % len(docs)].text, len(d.text) // 4, got[d.doc_id]
         assert r.n_chars == len(d.text) and r.edited_sha256 == hashlib.sha256((d.text[: len(d.text) - n] + after[:n]).encode()).hexdigest()
-        a, b = (set(fingerprints.from_string(got[x.doc_id].fingerprint)[0].tolist()) for x in (d, docs[(i + 1) % len(docs)]))
+        a, b = (fingerprints.from_string(got[x.doc_id].fingerprint) for x in (d, docs[(i + 1) % len(docs)]))
+        a, b = ({v for v in x[0].tolist() if v < 1 << 30 or a[1] and b[1]} for x in (a, b))  # below the lower limit of the two
         assert abs(r.near_next - len(a & b) / len(a | b)) < 1e-9
     assert np.mean([r.near_edited for r in got.values()]) > 0.5
 
