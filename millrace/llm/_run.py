@@ -74,21 +74,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def tidied(f):
-    """A mapInArrow function that gives memory back to the system when its task ends: Python workers outlive tasks and stages."""
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    import ctypes
+    import gc
 
-    def run(batches):
-        import ctypes
-        import gc
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-        import pyarrow as pa
 
+def tidied(f):
+    """A mapInArrow function that gives memory back when its task ends: Python workers outlive tasks and stages."""
+
+    def run(batches):
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

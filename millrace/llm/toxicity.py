@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import fresh, pick, small_batches, table, tidied
+from ._run import fresh, give_back, pick, small_batches, table, tidied
 from ._text import mix
 
 SAMPLE, FOLDS = 8000, 5
@@ -117,23 +117,33 @@ class Words:
 
     def __init__(self, texts: Sequence[str]):
         known: dict[str, int] = {"": 0}
-        parts = [np.array([0, *(known.setdefault(w, len(known)) for w in t.split()), 0], dtype=np.int64) for t in texts]
-        end = np.zeros(1, np.int64)
-        self.names, self.ids = list(known), np.concatenate([end, *parts, end])
-        self.text = np.concatenate([end, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), end])
-
-    def contexts(self, which: np.ndarray) -> np.ndarray:
-        """For either half (by a checksum of the context) and each word: in how many different contexts, two words to either side, it stands in the texts `which`."""
-        size, at = len(self.names), np.flatnonzero((self.ids > 0) & which[self.text])
-        context = np.zeros(len(at), dtype=np.uint64)
-        for k in (-2, -1, 1, 2):
-            context = mix(context * np.uint64(0x9E3779B97F4A7C15) + self.ids[at + k].astype(np.uint64) + np.uint64(1))
-        order = np.lexsort((context, self.ids[at]))
-        word, context = self.ids[at][order], context[order]
-        new = np.ones(len(word), dtype=bool)
-        new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-        word, side = word[new], context[new] >> np.uint64(63)
-        return np.stack([np.bincount(word[side == s], minlength=size) for s in (0, 1)])
+        end, parts = np.zeros(1, np.int32), []
+        for t in texts:
+            parts.append(np.array([0, *(known.setdefault(w, len(known)) for w in t.split()), 0], dtype=np.int32))
+        self.names, self.text = list(known), np.concatenate([end, np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), end])
+        self.ids = np.concatenate([end, *parts, end])
+
+    def contexts(self, which: np.ndarray, turns: int = 16) -> np.ndarray:
+        """For either half (by a checksum of the context) and each word: in how many different contexts, two words to either side, it stands in the texts `which`.
+
+        Words take turns, so that little is held at once.
+        """
+        out = np.zeros((2, len(self.names)), dtype=np.int64)
+        ok = (self.ids > 0) & which[self.text]
+        for turn in range(turns):
+            at = np.flatnonzero(ok & (self.ids % turns == turn))
+            context = np.zeros(len(at), dtype=np.uint64)
+            for k in (-2, -1, 1, 2):
+                context = mix(context * np.uint64(0x9E3779B97F4A7C15) + self.ids[at + k].astype(np.uint64) + np.uint64(1))
+            word = self.ids[at]
+            order = np.lexsort((context, word))
+            word, context = word[order], context[order]
+            new = np.ones(len(word), dtype=bool)
+            new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+            word, side = word[new], context[new] >> np.uint64(63)
+            for s in (0, 1):
+                out[s] += np.bincount(word[side == s], minlength=len(self.names))
+        return out
 
 
 def learn_lexicon(words: Words, toxic: np.ndarray, least: int = 3, lift: float = 6.0, surprise: float = 30.0, shortest: int = 3, longest: int = 9) -> dict[str, float]:
@@ -188,7 +198,7 @@ def learn_exceptions(words: Words, toxic: np.ndarray, lexicon: dict[str, float],
     hit = np.array([any(w[:k] in lexicon for k in sizes) for w in words.names])
     a, b = words.ids[:-1], words.ids[1:]
     at = np.flatnonzero((a > 0) & (b > 0) & (hit[a] | hit[b]))
-    pair, bad = a[at] * size + b[at], toxic[words.text[at]]
+    pair, bad = a[at].astype(np.int64) * size + b[at], toxic[words.text[at]]
     each = np.unique(np.stack([pair[~bad], words.text[at][~bad]]), axis=1)[0]
     found, n = np.unique(each, return_counts=True)
     found = np.setdiff1d(found[n >= least], pair[bad])
@@ -214,7 +224,7 @@ def train(texts: Sequence[str | None], labels: Sequence[int], exceptions: Sequen
     y = np.array(labels)
     if len(set(labels)) < 2:
         return Model()
-    folded = [fold(t) for t in texts]
+    folded = list(map(fold, texts))
     kinds = dict(zip(folded, labels)) | {t: 1 for t, k in zip(folded, labels) if k == 1}
     words_of, toxic = Words(list(kinds)), np.array(list(kinds.values())) == 1
     lexicon = learn_lexicon(words_of, toxic)
@@ -235,7 +245,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(sample)  # at most `sample` rows of two numbers: small enough to broadcast
     rows = pick(documents, "doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), F.xxhash64("text")).limit(sample).select("text", "toxic").toArrow()
-    return train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_pylist()
+    del rows
+    model = train(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), prefix: str = "tox") -> DataFrame:
