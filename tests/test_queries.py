@@ -71,3 +71,26 @@ def test_embedding_pairs_lose_none(spark):
     got = {(r.i, r.j) for r in dedup.embedding_pairs(df, 0.02, 3).collect()}
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if abs(1 - v[i] @ v[j]) < 0.02}
     assert got == want and want
+
+
+def test_embeddings_of_many_rows_meet_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from millrace.operators import dedup
+
+    monkeypatch.setattr(dedup, "block_rows", lambda n, width: 37)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 16))
+    v[200:] = v[:100]  # copies too
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (300, [1.0, 0.0]), (301, [0.6, 0.8]), (302, None)], "id long, v array<double>")
+    got = [(r.i, r.j) for r in dedup.embedding_pairs(df, 0.5, 16).collect()]
+    d = np.abs(v @ v.T - 1)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if d[i, j] < 0.5} | {(300, 301)}
+    assert len(got) == len(set(got)) and set(got) == want
+    some = df.where("id % 3 = 0")
+    got = [(r.i, r.j) for r in dedup.embedding_pairs(some, 0.5, 16, df).collect()]
+    assert len(got) == len(set(got)) and {(i, j) for i, j in got if max(i, j) < 300} == {(i, j) for i in range(0, 300, 3) for j in range(300) if d[i, j] < 0.5}
+    plan = dedup.embedding_pairs(df, 0.5, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
