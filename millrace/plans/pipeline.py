@@ -685,6 +685,8 @@ class _Steps:
         if known is not None:
             near = dedup.embedding_pairs(vectors, threshold, width, known.select(F.col("item").alias("id"), F.col("value").alias("v")))
             vectors = vectors.join(near.select(F.col("i").alias("id")).distinct(), "id", "left_anti")
+        if threshold > 1e-9:  # copies go with the first of them, whatever becomes of it; vectors with a NaN are near none
+            vectors = storage.stash(vectors.groupBy("v", F.when(F.exists("v", F.isnan), F.col("id"))).agg(F.min("id").alias("id")).select("id", "v"), "vectors")
         pairs = storage.stash(dedup.embedding_pairs(vectors, threshold, width), "pairs")
         kept = rows.join(dedup.independent(vectors.select("id"), pairs).withColumnRenamed("id", "index"), "index", "left_semi")
         if similarity_output:
