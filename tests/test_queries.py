@@ -94,3 +94,8 @@ def test_embeddings_of_many_rows_meet_in_blocks(spark, monkeypatch):
     assert len(got) == len(set(got)) and {(i, j) for i, j in got if max(i, j) < 300} == {(i, j) for i in range(0, 300, 3) for j in range(300) if d[i, j] < 0.5}
     plan = dedup.embedding_pairs(df, 0.5, 16)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+def test_topk_cosine_sends_no_vectors_to_the_driver(spark, sf):
+    plan = queries.topk_cosine(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
