@@ -621,15 +621,16 @@ class _Steps:
         self.df = kept.drop(value)
         self.dropped.append((step, before, self.df))
 
-    def check_hash(self, input: str) -> _Steps:
-        """The first row of each value that no earlier run kept; objects are compared by canonical JSON."""
+    def check_hash(self, input: str, order: str | None = None) -> _Steps:
+        """The first row of each value that no earlier run kept; objects are compared by canonical JSON. First by `order`, nulls last, then by source order."""
         step = self._note("CHECK_HASH", input)
         c, dynamic = self._value(input)
         kind = None if dynamic else self._compiler().type_of(c)
         text = self._string(input) if kind is not None and isinstance(kind, T.StringType) else F.coalesce(F.to_json(F.try_parse_json(self._json(input))), self._json(input))
         state = self._state()
         known = state.read("hashes", input) if state else None
-        kept = dedup.keep_first(self.df, hash_exact(text), "index", None if known is None else known.select(F.col("value").alias("key")))
+        by = ["index"] if order is None else [self._value(order)[0].asc_nulls_last(), "index"]
+        kept = dedup.keep_first(self.df, hash_exact(text), by, None if known is None else known.select(F.col("value").alias("key")))
         self._gate(step, kept.withColumnRenamed("__key", "__value"), "hashes", "__value", input)
         return self
 

@@ -195,16 +195,22 @@ def with_sql(spark: SparkSession, name: str, df: DataFrame, sql: str | None) ->
 
 
 def with_index(df: DataFrame, name: str = "index") -> DataFrame:
-    """df with dense ordinals in source order: one count per partition gives each partition's first ordinal; rows don't move."""
+    """df with dense ordinals in source order: one count per split gives each split's first ordinal; rows don't move.
+
+    Spark deals files to partitions by size. Rows of one scan are numbered by file name and place in it, others by partition.
+    """
     spark = df.sparkSession
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # a shuffle may deal rows otherwise when it runs again
         df = stash(df, "ordinals")
-    numbered = df.withColumn("__mid", F.monotonically_increasing_id())
-    counts = numbered.select(F.shiftright("__mid", 33).alias("p")).groupBy("p").count().orderBy("p").collect()  # one row per partition
+    scan = df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    file, block = (F.input_file_name(), F.input_file_block_start()) if scan else (F.lit(""), F.lit(-1).cast("long"))
+    numbered = df.withColumns({"__mid": F.monotonically_increasing_id(), "__file": file, "__block": block})
+    split = [F.shiftright("__mid", 33).alias("__p"), F.col("__file").alias("__f"), F.col("__block").alias("__b")]
+    counts = numbered.groupBy(*split).agg(F.count("*").alias("n"), F.min("__mid").alias("first")).orderBy("__f", "__b", "__p").collect()  # one row per split
     starts, total = [], 0
     for r in counts:
-        starts.append((r.p, total))
-        total += r["count"]
-    offsets = spark.createDataFrame(starts, "__p long, __start long")
-    joined = numbered.join(F.broadcast(offsets), F.shiftright("__mid", 33) == F.col("__p"))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+        starts.append((r["__p"], r["__f"], r["__b"], total - r.first))
+        total += r.n
+    offsets = spark.createDataFrame(starts, "__p long, __f string, __b long, __start long")
+    joined = numbered.join(F.broadcast(offsets), (F.shiftright("__mid", 33) == F.col("__p")) & (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__mid")).alias(name))

@@ -99,3 +99,37 @@ def test_embeddings_of_many_rows_meet_in_blocks(spark, monkeypatch):
 def test_topk_cosine_sends_no_vectors_to_the_driver(spark, sf):
     plan = queries.topk_cosine(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "BroadcastExchange" not in plan
+
+
+@pytest.fixture
+def scattered(tmp_path):
+    """documents in files of unlike size, whose doc_ids don't follow the order of rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    ids = [40, 7, *range(100, 130), 3, 2, 1]
+    texts = ["same " * 60, "same " * 60, *[f"text {i} " * (30 + i) for i in range(30)], "same " * 60, "text 4 " * 34, "text 4 " * 34]
+    for k, (lo, hi) in enumerate([(0, 2), (2, 32), (32, 35)]):
+        t = texts[lo:hi]
+        pq.write_table(pa.table({"doc_id": ids[lo:hi], "text": t, "lang": ["en"] * len(t), "source": ["x"] * len(t), "n_chars": [len(x) for x in t]}), folder / f"part-{k}.parquet")
+    return str(tmp_path), ids, texts
+
+
+def _same_as_sql(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    assert rows(queries.QUERIES[name](spark, folder).toPandas()) == rows(con.execute(queries.ORACLE[name]).df())
+
+
+def test_dedup_exact_keeps_the_smallest_id(spark, scattered):
+    _same_as_sql(spark, scattered[0], "dedup_exact")
+
+
+def test_index_follows_files_not_their_sizes(spark, scattered):
+    from millrace.sources import scan
+
+    folder, ids, _ = scattered
+    got = scan.with_index(queries.read(spark, folder, "documents").select("doc_id")).orderBy("index").collect()
+    assert [r.doc_id for r in got] == ids and [r["index"] for r in got] == list(range(len(ids)))
