@@ -133,3 +133,7 @@ def test_index_follows_files_not_their_sizes(spark, scattered):
     folder, ids, _ = scattered
     got = scan.with_index(queries.read(spark, folder, "documents").select("doc_id")).orderBy("index").collect()
     assert [r.doc_id for r in got] == ids and [r["index"] for r in got] == list(range(len(ids)))
+
+
+def test_flagship_keeps_the_smallest_id(spark, scattered):
+    _same_as_sql(spark, scattered[0], "flagship")
