@@ -162,3 +162,7 @@ def odd(tmp_path):
 
 def test_fingerprints_of_repeated_ids_and_blank_texts(spark, odd):
     _same_as_sql(spark, odd, "simhash_fingerprint")
+
+
+def test_classes_of_repeated_ids_and_blank_texts(spark, odd):
+    _same_as_sql(spark, odd, "simhash_classes")
