@@ -172,3 +172,7 @@ def test_simhash_pairs_neither_hold_nor_broadcast(spark, sf, odd):
     _same_as_sql(spark, odd, "simhash_pairs_t3")
     plan = queries.simhash_pairs_t3(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_any_earlier_of_repeated_ids_and_blank_texts(spark, odd):
+    _same_as_sql(spark, odd, "simhash_any_earlier_t3")
