@@ -176,3 +176,7 @@ def test_simhash_pairs_neither_hold_nor_broadcast(spark, sf, odd):
 
 def test_any_earlier_of_repeated_ids_and_blank_texts(spark, odd):
     _same_as_sql(spark, odd, "simhash_any_earlier_t3")
+
+
+def test_topk_neighbors_of_repeated_ids_and_blank_texts(spark, odd):
+    _same_as_sql(spark, odd, "topk_neighbors")
