@@ -31,7 +31,7 @@ from ..functions.compile import Compiler, NotNative
 from ..functions.filters import dumps
 from ..functions.json_schema import closed, is_valid
 from ..functions.text import chunk as chunk_text
-from ..functions.text import hash_exact, language_scores, normalize, simhash_array
+from ..functions.text import hash_exact, language_scores, simhash_nfkc_column
 from ..operators import conversation as conv
 from ..operators import dedup, generate, validate
 from ..session import get_spark
@@ -638,12 +638,7 @@ class _Steps:
         """Rows whose SimHash is farther than the threshold from that of every kept earlier row (greedy) or of every earlier row."""
         step = self._note("CHECK_SIMHASH", input)
         threshold = threshold if treshold is None else treshold
-
-        @F.arrow_udf("long")
-        def run(text: pa.Array) -> pa.Array:
-            return simhash_array([None if t is None else normalize(t) for t in text.to_pylist()])
-
-        rows = storage.stash(self.df.withColumn("__value", run(self._string(input))).where("__value is not null"), "simhash")
+        rows = storage.stash(self.df.withColumn("__value", simhash_nfkc_column(self._string(input))), "simhash").where("__value is not null")  # filtered once written, else Spark hashes twice
         prints = dedup.keep_first(rows.select(F.col("index").alias("id"), F.col("__value").alias("print")), F.col("print"), "id").drop("__key")
         state = self._state()
         known = state.read("simhashes", input) if state else None
@@ -677,7 +672,7 @@ class _Steps:
                 return pa.array([None if not n else [x / n for x in v] for v, n in zip(found, lengths)], type=pa.list_(pa.float64()))
 
             vector = F.arrow_udf(run, returnType="array<double>")(self._string(input))
-        rows = storage.stash(self.df.withColumn("__value", vector).where("__value is not null"), "embedding")
+        rows = storage.stash(self.df.withColumn("__value", vector), "embedding").where("__value is not null")
         first = rows.select(F.size("__value").alias("w")).first()
         width = first.w if first else 1
         vectors = rows.select(F.col("index").alias("id"), F.col("__value").alias("v"))

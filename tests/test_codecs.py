@@ -66,3 +66,13 @@ def test_judge_prompts(kind, language):
     got = generate.judge_prompt(kind, language, [{"role": "user", "content": "Cześć {x}"}], [{"name": "f"}])
     assert all(name in got for name in generate.judge_schema(kind)["properties"]) and "Cześć {x}" in got
     assert ('{"name": "f"}' in got) == kind.startswith("tools") and ("Oceniasz" in got) == (language == "pl")
+
+
+def test_texts_are_hashed_in_slices():
+    import pyarrow as pa
+
+    texts = ["a b " * 300, None, "", "c " * 5000, *["d e"] * 50]
+    parts = text.slices(pa.array(texts), 1000)
+    assert len(parts) > 1 and [x for p in parts for x in p.to_pylist()] == texts
+    assert all(sum(len(x or "") for x in p.to_pylist()[1:]) < 1000 for p in parts)
+    assert [p.to_pylist() for p in text.slices(pa.array([], pa.string()))] == [[]]
