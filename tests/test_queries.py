@@ -180,3 +180,22 @@ def test_any_earlier_of_repeated_ids_and_blank_texts(spark, odd):
 
 def test_topk_neighbors_of_repeated_ids_and_blank_texts(spark, odd):
     _same_as_sql(spark, odd, "topk_neighbors")
+
+
+@pytest.fixture
+def uncommon(tmp_path):
+    """documents whose texts have white space and letters that engines treat unlike."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["a\x0bb c", "a\x0cb c", "A b\tC", "\xa0a b c\u2003", "a b c", "a\xa0b c", "\u3000 \xa0", "\x0b", " \x0b ", "\x1c", "\u200b", "\u0130stanbul i", "istanbul I", "\u039f\u0394\u039f\u03a3 x", "\u03bf\u03b4\u03bf\u03c3 X", "\u03a3", "a\x00b", "\U00010400 \u1e9e"]
+    n = len(texts)
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    pq.write_table(pa.table({"doc_id": range(n), "text": texts, "lang": ["en"] * n, "source": ["x"] * n, "n_chars": [len(t) for t in texts]}), folder / "part-0.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["simhash_classes", "simhash_fingerprint", "text_normalize"])
+def test_uncommon_spaces_and_letters(spark, uncommon, name):
+    _same_as_sql(spark, uncommon, name)
